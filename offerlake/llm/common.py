@@ -126,14 +126,20 @@ class Kept(dict):
         self._old: dict = {}
         self._most = most
 
-    def missing(self, keys) -> list:
-        old, found = self._old, []
-        for k in set(keys).difference(self):
-            if (v := old.get(k)) is None:
-                found.append(k)
-            else:
-                self[k] = v
-        return found
+    def values_of(self, keys: list, make) -> list:
+        """The value of each key; ``make`` gives those of keys that neither generation has."""
+        values = list(map(self.get, keys))
+        if None in values:
+            gone = {k for k, v in zip(keys, values) if v is None}
+            old, new = self._old, []
+            for k in gone:
+                if (v := old.get(k)) is None:
+                    new.append(k)
+                else:
+                    self[k] = v
+            self.update(zip(new, make(new)))
+            values = [self[k] if v is None else v for k, v in zip(keys, values)]
+        return values
 
     def turn(self) -> None:
         if len(self) > self._most:
@@ -176,17 +182,23 @@ class Encoder:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _runs_ids(self, runs: list[str]) -> list[bytes]:
+        fine = [self._fine(r) for r in runs]
+        ids = iter(self._units.values_of(list(itertools.chain.from_iterable(fine)), self._ids))
+        return [b"".join(itertools.islice(ids, len(f))) for f in fine]
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._coarse(t) if t and self.kind != "whole" and _PLAIN.fullmatch(t) else None for t in texts]
-        runs, units = self._runs, self._units
-        if missing := runs.missing(itertools.chain.from_iterable(filter(None, parts))):
-            fine = [self._fine(r) for r in missing]
-            if unknown := units.missing(itertools.chain.from_iterable(fine)):
-                units.update(zip(unknown, self._ids(unknown)))
-            runs.update((r, b"".join(map(units.__getitem__, f))) for r, f in zip(missing, fine))
-        out = [b"".join(map(runs.__getitem__, p)) if p is not None else (self._ids([t])[0] if t else b"") for t, p in zip(texts, parts)]
-        runs.turn()
-        units.turn()
+        ids = self._runs.values_of(list(itertools.chain.from_iterable(filter(None, parts))), self._runs_ids)
+        out, at = [], 0
+        for t, p in zip(texts, parts):
+            if p is None:
+                out.append(self._ids([t])[0] if t else b"")
+            else:
+                out.append(b"".join(ids[at : at + len(p)]))
+                at += len(p)
+        self._runs.turn()
+        self._units.turn()
         return out
 
     def encode(self, text: str | None) -> bytes:
