@@ -70,6 +70,25 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import id_remainder
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 3) != 1)
+    held = (id_remainder("doc_id", 3) == 1).alias("held_out")
+    return score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, id_remainder, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
+    held = (id_remainder("doc_id", 5) == 0).alias("held_out")
+    return score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP8_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM dw WHERE len(w) >= 35)),
@@ -82,6 +101,6 @@ FROM dw LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op5_near_duplicates, op7_token_files, op8_remove_repeats)
+    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op5_near_duplicates, op7_token_files, op8_remove_repeats, op9_toxicity, op10_quality_classifier)
 }
 ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op8_remove_repeats": OP8_SQL}
