@@ -50,6 +50,58 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: (verdict, host, path), as the contract gives them.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS q,
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\bcontent\s*=\s*["'']?\s*0*\s*;\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) AS refresh
+  FROM pages
+), rules(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || q END AS node FROM p),
+l AS (SELECT node, host, path, canonical AS link FROM n WHERE canonical <> '' UNION ALL SELECT node, host, path, refresh FROM n WHERE refresh <> ''),
+t AS (SELECT node, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN 'http:' || link WHEN link LIKE '/%' THEN 'http://' || host || link
+  WHEN link LIKE '#%' OR link LIKE '?%' THEN 'http://' || host || path || link ELSE 'http://' || host || CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || link END AS url FROM l),
+e AS (SELECT node AS u, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS q FROM t),
+edge AS (SELECT u, host || CASE WHEN path = '' THEN '/' ELSE path END || q AS v, host, path FROM e WHERE host <> '' AND u IS NOT NULL),
+urls AS (SELECT node, host, path FROM n WHERE node IS NOT NULL UNION SELECT v, host, path FROM edge),
+both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
+reach AS (SELECT node AS a, node AS b FROM urls UNION SELECT reach.a, w.v FROM reach JOIN both_ways w ON reach.b = w.u),
+said AS (SELECT node, arg_max(verdict, length(h || pre)) AS own, arg_max(h || pre, length(h || pre)) AS rule FROM urls JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, pre) GROUP BY node),
+fate AS (SELECT a, bool_or(own = 'block') AND NOT bool_or(own = 'allow') AS blocked FROM reach JOIN said ON said.node = reach.b GROUP BY a)
+SELECT page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, said.rule, coalesce(said.own, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM n LEFT JOIN said ON n.node = said.node LEFT JOIN fate ON n.node = fate.a
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_boilerplate
+
+    found = remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos FROM s),
+y AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM x),
+b AS (SELECT t, min(struct_pack(d := doc_id, p := pos)) AS f FROM y WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+k AS (SELECT y.doc_id, y.pos, y.line, b.t IS NOT NULL AND NOT (b.f.d = y.doc_id AND b.f.p = y.pos) AS gone FROM y LEFT JOIN b ON y.t = b.t)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -101,6 +153,6 @@ FROM dw LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op5_near_duplicates, op7_token_files, op8_remove_repeats, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op3_url_filter, op4_line_dedup, op5_near_duplicates, op7_token_files, op8_remove_repeats, op9_toxicity, op10_quality_classifier)
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op8_remove_repeats": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_remove_repeats": OP8_SQL}
