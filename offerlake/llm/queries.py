@@ -108,6 +108,36 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op6_sql() -> str:
+    from .quality_rules import CLASS_CHARS, CLASS_LIMIT, COMMON, LEAST_WORDS, WORD_LIMIT, WORD_WORDS
+
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON.items())
+    return rf"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN ({', '.join(map(repr, COMMON))}) THEN lang ELSE '*' END AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT tri.doc_id, unnest(range(i, i + 3)) AS k FROM tri JOIN (SELECT doc_id, g FROM tri GROUP BY ALL HAVING count(*) > 1) m ON tri.doc_id = m.doc_id AND tri.g = m.g) GROUP BY doc_id),
+f AS (SELECT d.doc_id, lang, length(t) AS chars, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS low, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dig, length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) AS high,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, coalesce(rep.n, 0) AS n_repeat_words,
+    list_transform(CASE lang {lists} ELSE [] END, lambda c: len(list_filter(w, lambda x: x = c))) AS common FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+h AS (SELECT doc_id, lang, 'class' AS kind, chars AS total, chars >= {CLASS_CHARS} AS held, {CLASS_LIMIT} AS most, unnest([up, low, dig, high, n_symbols, word_chars - up - low - dig - high - n_symbols, chars - word_chars, 0]) AS v, unnest(range(8)) AS i FROM f
+  UNION ALL SELECT doc_id, lang, 'word', n_words, n_words >= {WORD_WORDS} AND lang <> '*', {WORD_LIMIT}, unnest(list_append(common, n_words - coalesce(list_sum(common), 0))), unnest(range(len(common) + 1)) FROM f),
+r AS (SELECT lang, kind, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang, kind) AS q FROM h GROUP BY lang, kind, i),
+j AS (SELECT doc_id, kind, held, most, v / greatest(total, 1) AS p, q FROM h JOIN r USING (lang, kind, i)),
+dist AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) <= most OR NOT held AS near FROM j GROUP BY doc_id, kind, held, most),
+verdict AS (SELECT doc_id, bool_and(near) AS near FROM dist GROUP BY doc_id)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND near AS kept
+FROM f JOIN verdict USING (doc_id)
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import fresh_dir, read_token_files, write_token_files
 
@@ -153,6 +183,6 @@ FROM dw LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op3_url_filter, op4_line_dedup, op5_near_duplicates, op7_token_files, op8_remove_repeats, op9_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_pack_best_fit, op2_decontaminate, op3_url_filter, op4_line_dedup, op5_near_duplicates, op6_quality_rules, op7_token_files, op8_remove_repeats, op9_toxicity, op10_quality_classifier)
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_remove_repeats": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_quality_rules": _op6_sql(), "op8_remove_repeats": OP8_SQL}
