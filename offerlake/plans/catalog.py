@@ -49,12 +49,12 @@ def _flagship(**how) -> offers.OffersQuery:
 MATCH = "FROM orders o WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_extendedprice BETWEEN 1000 AND 5000)"
 
 
-@query(f"""SELECT p.o_orderkey, CAST(o_orderdate AS DATE) AS posted, o_orderpriority AS category, count(*) AS n_items, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price
+@query(f"""SELECT p.o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS posted, o_orderpriority AS category, count(*) AS n_items, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price
 FROM (SELECT o.* {MATCH} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20) p JOIN lineitem l ON l.l_orderkey = p.o_orderkey AND l_extendedprice BETWEEN 1000 AND 5000 GROUP BY ALL""")
 def offers_page(spark, d):
     page = _flagship(page=2).page_nested(t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"))
     price = F.transform("items", lambda x: x["l_extendedprice"])
-    return page.select("o_orderkey", F.col("o_orderdate").cast("date").alias("posted"), F.col("o_orderpriority").alias("category"), F.size("items").cast("long").alias("n_items"), F.array_min(price).alias("min_price"), F.array_max(price).alias("max_price"))
+    return page.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.col("o_orderpriority").alias("category"), F.size("items").cast("long").alias("n_items"), F.array_min(price).alias("min_price"), F.array_max(price).alias("max_price"))
 
 
 @query(f"SELECT count(*) AS total {MATCH}")
@@ -92,9 +92,9 @@ def search_text(spark, d):
     return t(spark, d, "documents").where(q.post_filter()).select("doc_id", "source")
 
 
-@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), lower('IA'))")
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), lower('N_1'))")
 def location_filter(spark, d):
-    nations = t(spark, d, "nation").where(contains_any_case(F.col("n_name"), "IA")).select("n_nationkey", "n_name")
+    nations = t(spark, d, "nation").where(contains_any_case(F.col("n_name"), "N_1")).select("n_nationkey", "n_name")
     return t(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
@@ -138,7 +138,7 @@ def detail_by_id(spark, d):
     return one.select("o_orderkey", F.col("o_orderpriority").alias("category"), F.col("source.name").alias("source_name"), F.size("items").cast("long").alias("n_items"), quantity.alias("quantity"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN round_even(p_retailprice / 12, 2) END AS monthly FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN CASE WHEN d * 100 - floor(d * 100) = 0.5 THEN round_even(p_retailprice / 12, 2) ELSE CAST(round(d, 2) AS DOUBLE) END END AS monthly FROM (SELECT *, CAST(p_retailprice / 12 AS DECIMAL(30, 16)) AS d FROM part)""")
 def monthly_price(spark, d):
     period = F.when(F.col("p_size") % 4 == 0, "month").when(F.col("p_size") % 4 == 1, "year").when(F.col("p_size") % 4 == 2, "one_time")
     return t(spark, d, "part").select("p_partkey", money.monthly_price(F.col("p_retailprice"), period).alias("monthly"))
@@ -264,7 +264,7 @@ def batch_chunks(spark, d):
     return configurations.batch_numbers(t(spark, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", F.col("batch").cast("long"), F.col("place").cast("long"))
 
 
-@query("""SELECT o_orderkey || '-' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1) AS card_id, CASE l_returnflag WHEN 'A' THEN '$' WHEN 'N' THEN '€' ELSE 'R ' END || printf('%.2f', l_extendedprice) || CASE l_linestatus WHEN 'O' THEN '/mo' ELSE '/yr' END AS price,
+@query("""SELECT o_orderkey || '-' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, l_extendedprice, l_quantity) - 1) AS card_id, CASE l_returnflag WHEN 'A' THEN '$' WHEN 'N' THEN '€' ELSE 'R ' END || printf('%.2f', l_extendedprice) || CASE l_linestatus WHEN 'O' THEN '/mo' ELSE '/yr' END AS price,
 CASE WHEN l_quantity >= 25 THEN CAST(l_quantity AS INT) || 'MB' ELSE NULL END AS ram, coalesce(nullif(l_returnflag, ''), o_orderpriority) AS provider FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
 def flatten_cards(spark, d):
     posts = t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority")
@@ -274,7 +274,7 @@ def flatten_cards(spark, d):
     return cards.select("card_id", money_.alias("price"), display.ram_label(F.when(i["l_quantity"] >= 25, i["l_quantity"].cast("int"))).alias("ram"), offers.filled(i["l_returnflag"], F.col("o_orderpriority")).alias("provider"))
 
 
-@query("SELECT o_orderkey, arg_min(l_extendedprice, l_linenumber) AS price, count(*) - 1 AS more FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("SELECT o_orderkey, arg_min(l_extendedprice, struct_pack(a := l_linenumber, b := l_extendedprice)) AS price, count(*) - 1 AS more FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def primary_item(spark, d):
     items = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") == 1).alias("is_primary"), "l_extendedprice")
     nested = offers.with_items(t(spark, d, "orders").select("o_orderkey"), items, C).where(F.size("items") > 0)
