@@ -21,7 +21,8 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def threads(entries: DataFrame, source: str, as_of: Column, thread_id, categories: tuple) -> DataFrame:
     """Discovered threads of feed entries: titles cleaned, dates or ``as_of``, summary or else content."""
-    date = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"), as_of)
+    plain = F.regexp_replace("pubDate", r"^\s*[A-Za-z]+,\s*", "")  # without the day's name
+    date = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")], F.try_to_timestamp("pubDate"), as_of)
     title = clean_text(F.col("title"))
     return entries.select(F.lit(source).alias("source_name"), F.col("link").alias("url"), title.alias("title"), cat.categorize(title, categories).alias("category"), thread_id(F.col("link")).alias("source_thread_id"), date.alias("posted_at"), F.coalesce(blank_to_null(F.col("description")), F.col("encoded")).alias("summary"))
 

@@ -18,6 +18,7 @@ from ..functions.money import billing_period, currency, monthly_price, price
 from ..functions.places import location, posted_at
 from ..functions.specs import bandwidth_gb, ram_mb, storage_gb
 from ..functions.text import blank_to_null, clean_text, hits_with_context
+from ..operators.configurations import first_filled
 from .dom import tree
 
 CODE = "(USD|EUR|GBP|CAD|AUD|JPY|INR|CNY|SGD)"
@@ -109,10 +110,12 @@ def text_items(rows: DataFrame, spec: PageSpec, text: str = "content", link: Col
     """A row per price found, from the first pattern that finds any, with what surrounds it read for sizes. Without a price, a link's
     domain alone makes a row. ``strict`` reads the period from the captured word only, which knows no ``yr`` or ``year``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = F.lit(None)
-    for p in reversed(spec.prices):
-        hits = F.transform(hits_with_context(body, p, spec.context), lambda x, p=p: F.struct(x["hit"].alias("hit"), x["context"].alias("context"), blank_to_null(F.regexp_extract(x["hit"], p, 1)).alias("amount"), blank_to_null(F.regexp_extract(x["hit"], p, 2)).alias("code"), blank_to_null(F.regexp_extract(x["hit"], p, 3)).alias("period")))
-        found = hits if p == spec.prices[-1] else F.when(F.size(hits) > 0, hits).otherwise(found)
+
+    def priced(pattern: str) -> Column:
+        part = lambda hit, k: blank_to_null(F.regexp_extract(hit, pattern, k))
+        return F.transform(hits_with_context(body, pattern, spec.context), lambda x: F.struct(x["hit"].alias("hit"), x["context"].alias("context"), part(x["hit"], 1).alias("amount"), part(x["hit"], 2).alias("code"), part(x["hit"], 3).alias("period")))
+
+    found = first_filled(*map(priced, spec.prices))
     rows = rows.withColumn("order_url", link if link is not None else F.lit(None).cast("string")).withColumn("provider_domain", urls.domain(F.col("order_url")))
     rows = rows.withColumn("_h", found)
     rows = rows.select(*[c for c in rows.columns if c != "_h"], F.posexplode_outer("_h").alias("position", "_h")).where(F.col("_h").isNotNull() | F.col("provider_domain").isNotNull())
