@@ -2,14 +2,14 @@
 
 1. Words (``decontaminate.normal_words``) get log-odds between toxic and other labelled documents, from the number of
    documents that hold them, with an informative Dirichlet prior; those that stand out (``LEAST_Z``,
-   ``LEAST_ODDS``) make the model, all other words score ``DRIFT``, a little below zero.
+   ``LEAST_ODDS``) and are in at least ``LEAST_SHARE`` of the toxic ones make the model, all other words score ``DRIFT``, a little below zero.
 2. A linear scan (Ruzzo and Tompa) finds all maximal segments of a text's scores.
 3. Their scores are calibrated by extreme-value theory (Karlin and Altschul): with lambda from the words' background
    frequencies and K fitted to the sample's other documents, a segment of score s in n words has the expected number
    E = K n exp(-lambda s) by chance. Segments with E below ``LEAST_E``, or the best one, count; a logistic curve over their
    evidence gives the document's score.
 
-Labels are learned from a bounded sample (``labelled.MOST_ROWS``), which bounds the vocabulary too. Null, empty and
+Labels are learned from a bounded sample (``labelled.MOST_ROWS``), which bounds the vocabulary too; equal texts of one label count once in it. Null, empty and
 wordless texts have no segment and get the score of no evidence; with no labels, or of one class, every score is the
 base rate (1/2 with none). Repeated ids stay separate rows; an empty table gives no rows; other columns are not read.
 """
@@ -29,7 +29,7 @@ from .decontaminate import normal_words, word_spans
 from .labelled import MOST_ROWS, sample
 
 PRIOR = 0.05
-LEAST_Z, LEAST_ODDS = 3.3, 3.5
+LEAST_Z, LEAST_ODDS, LEAST_SHARE = 2.5, 3.5, 0.02
 DRIFT = -0.05
 LEAST_E = 0.05
 
@@ -108,7 +108,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "toxic", most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     """Learn from labelled rows for which ``allowed`` holds."""
-    rows = stash(sample(docs, labels, label, allowed, most_rows=most_rows, id_col=id_col, text_col=text_col).select("text", "label"), "toxicity-sample")
+    rows = stash(sample(docs, labels, label, allowed, most_rows=most_rows, id_col=id_col, text_col=text_col).select("text", "label").dropDuplicates(), "toxicity-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     base = (n1 + 0.5) / (n1 + n0 + 1)
@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "to
     odd = lambda y, n: F.log((F.col(y) + alpha) / (n + prior - F.col(y) - alpha))
     odds = odd("y1", n1) - odd("y0", n0)
     z = odds / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
-    model = counts.select("word", odds.alias("odds"), z.alias("z"), ((F.col("tokens") + alpha) / tokens).alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).collect()
+    # words of a few toxic texts only, such as copies of one another, say nothing of others
+    model = counts.where(F.col("y1") >= LEAST_SHARE * n1).select("word", odds.alias("odds"), z.alias("z"), ((F.col("tokens") + alpha) / tokens).alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).collect()
     out = Toxicity({bytes(r["word"]): float(r["odds"]) for r in model})
 
     # lambda: the positive root of sum p exp(lambda s) = 1 over the background's scores
