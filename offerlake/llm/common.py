@@ -118,6 +118,17 @@ def batches_of(rows: Iterable, size: int) -> Iterator[list]:
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-±´-¸º»¿-įı-ſ]*")
 
 
+#: Those of them that are one byte in Latin-1.
+_PLAIN_BYTES = bytes(b for b in range(256) if _PLAIN.fullmatch(chr(b)))
+
+
+def plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return _PLAIN.fullmatch(text) is not None
+
+
 class Kept(dict):
     """Two generations of what was encoded: once ``most`` are new, those stay for one more turn and the older go."""
 
@@ -156,7 +167,7 @@ class Encoder:
     ordinary text. Ids come as little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -176,19 +187,32 @@ class Encoder:
             self.kind = "words"
             self._coarse = lambda text: text.lower().split()
             self._fine = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
+            vocab = self.tok.get_vocab()
+            self._ends = np.zeros(max(vocab.values()) + 1, bool)
+            self._ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self._runs, self._units = Kept(most), Kept(most)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _units_ids(self, units: list[str]) -> list[bytes]:
+        """Units that each end in an end-of-word piece are encoded as one text, which is then cut at those pieces."""
+        if self.kind == "words" and units:
+            ids = np.array(self.tok.encode(" ".join(units), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1).tolist()
+            if len(ends) == len(units) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        return self._ids(units)
+
     def _runs_ids(self, runs: list[str]) -> list[bytes]:
         fine = [self._fine(r) for r in runs]
-        ids = iter(self._units.values_of(list(itertools.chain.from_iterable(fine)), self._ids))
+        ids = iter(self._units.values_of(list(itertools.chain.from_iterable(fine)), self._units_ids))
         return [b"".join(itertools.islice(ids, len(f))) for f in fine]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self._coarse(t) if t and self.kind != "whole" and _PLAIN.fullmatch(t) else None for t in texts]
+        parts = [self._coarse(t) if t and self.kind != "whole" and plain(t) else None for t in texts]
         ids = self._runs.values_of(list(itertools.chain.from_iterable(filter(None, parts))), self._runs_ids)
         out, at = [], 0
         for t, p in zip(texts, parts):
