@@ -9,9 +9,11 @@
 3. In each list the text with the most repeated values leads. Members are compared with their leader: first by
    the estimate from the union of the two sketches, then by exact Jaccard on the full sets of both texts.
 4. What then lies in one list but not in one component is compared pair by pair, in tiles of ``tile`` x
-   ``tile`` sketches per task; a pair counts in the list of the first value that both have. Only pairs whose estimate
-   passes leave the task. They are verified exactly, each text's best ones first, then all that remain between
-   different components.
+   ``tile`` sketches per task; members of a list's largest component meet only those outside it, and a pair
+   counts in the list of the first value that both have. The members of long lists (``SHORT``) first get
+   lists anew, from sketches of ``fine_k`` values, which are whole sets for most texts: their shorter prefixes
+   leave out texts that differ too much from all others. Only pairs whose estimate passes leave a task. They are
+   verified exactly, each text's best ones first, then all that remain between different components.
 5. Links are joined into components (``components.py``).
 
 Hot values are counted by partial aggregation, and a large list is tiled over many tasks; no group is
@@ -38,6 +40,11 @@ SIMILARITY = (75, 100)
 K = 64
 SHARED = 28
 LEAST_ESTIMATE = 0.45
+FINE_K, FINE_SHARED, FINE_ESTIMATE = 256, 153, 0.62
+#: A list of more members than this is a long one.
+SHORT = 12
+#: So few pairs are verified at once; more of them in waves.
+FEW = 20_000
 TILE = 256
 
 _HASHES: list[WordHashes] = []
@@ -120,11 +127,47 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float, k: int) -> D
     return full.where(F.col("est") >= least)
 
 
-def _tiles(rows: DataFrame, tile: int, least: float, k: int) -> DataFrame:
-    """Pairs of one list, not of one component, whose estimate passes. rows: value, doc_id, comp, n, put, sketch, block, blocks."""
-    # block i meets every block j >= i; a row of block b is in the tiles (i, b) for i <= b and (b, j) for j > b
-    spread = rows.select("*", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")).alias("t"))
-    spread = spread.select("value", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "doc_id", "comp", "n", "put", "sketch", "block")
+def sketches(texts: DataFrame, k: int, width: int) -> DataFrame:
+    """doc_id, n and sketch of ``k`` values."""
+
+    def sketch(batches):
+        for batch in batches:
+            own = [shingles(x, width) for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0] + [min(k, len(x)) for x in own])
+            flat = np.concatenate([x[:k] for x in own]) ^ np.uint64(1 << 63) if own else np.empty(0, np.uint64)
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["doc_id", "n", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, sketch array<long>")
+
+
+def _placed(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    return lists.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Lists that hold several components: value, members, main (the largest component) and its share."""
+    parts = placed.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    return parts.groupBy("value").agg(F.sum("c").alias("members"), F.max("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("members > c")
+
+
+def _compared(placed: DataFrame, mixed: DataFrame, lists: DataFrame, sketch: DataFrame, tile: int, least: float, k: int, exact: float) -> DataFrame:
+    """Pairs (a, b, est) of one list but not one component whose estimate passes."""
+    rows = placed.join(mixed, "value")
+    out_blocks = F.ceil((F.col("members") - F.col("c")) / tile).cast("int")
+    main_blocks = F.ceil(F.col("c") / tile).cast("int")
+    inside = F.col("comp") == F.col("main")
+    block = F.when(inside, out_blocks + F.pmod(F.xxhash64("doc_id"), main_blocks)).otherwise(F.pmod(F.xxhash64("doc_id"), out_blocks)).cast("int")
+    # one of the largest component meets the others' blocks; one of the others meets every block
+    meets = F.when(inside, out_blocks).otherwise(out_blocks + main_blocks)
+    rows = rows.select("value", "doc_id", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), meets - 1)).alias("x"))
+    rows = rows.select("value", "doc_id", "comp", "block", F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"))
+    put = lists.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("put"))
+    rows = rows.join(sketch.join(put, "doc_id"), "doc_id").select("value", "i", "j", "doc_id", "comp", "n", "put", "sketch", "block")
+    return _tiles(rows, least, k, exact)
+
+
+def _tiles(spread: DataFrame, least: float, k: int, exact: float) -> DataFrame:
+    """Each tile (value, i, j) holds rows of block i and of block j, and compares those of i with those of j."""
     spread = spread.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def one(key, group):
@@ -132,35 +175,32 @@ def _tiles(rows: DataFrame, tile: int, least: float, k: int) -> DataFrame:
         left = [g for g in group if g[5] == i] if i != j else group
         right = [g for g in group if g[5] == j] if i != j else group
         docs = left if i == j else left + right
+        if not left or not right or len(docs) < 2:
+            return
+        sizes = np.array([len(g[4]) for g in docs])
         if len(docs) <= 24:
             sets = [set(g[4].tolist()) for g in docs]
-            common = lambda x, y: len(sets[x] & sets[y])
+            common = np.array([[len(a & b) for b in sets] for a in sets])
         else:
             flat = np.concatenate([g[4] for g in docs])
-            owner = np.repeat(np.arange(len(docs)), [len(g[4]) for g in docs])
+            owner = np.repeat(np.arange(len(docs)), sizes)
             _, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
             many = count[inv] > 1
             names, inv = np.unique(inv[many], return_inverse=True)
             m = np.zeros((len(docs), len(names)), np.float32)
             m[owner[many], inv] = 1
-            table = m @ m.T
-            common = lambda x, y: table[x, y]
-        for x in range(len(left)):
-            gx = left[x]
-            for y in range(x + 1 if i == j else len(left), len(docs)):
-                gy = docs[y]
-                if gx[1] == gy[1]:
-                    continue
-                c = common(x, y)
-                small, large = min(len(gx[4]), len(gy[4])), max(gx[2], gy[2])
-                if c < least * small or 100 * min(gx[2], gy[2]) < 75 * large:
-                    continue
-                both = np.intersect1d(gx[3], gy[3], assume_unique=True)
-                if len(both) and both[0] != value:
-                    continue
-                e = estimate(gx[4], gy[4], k)
-                if e >= least:
-                    yield (min(gx[0], gy[0]), max(gx[0], gy[0]), e)
+            common = m @ m.T
+        comps, ns = np.array([g[1] for g in docs]), np.array([g[2] for g in docs])
+        fits = (comps[:, None] != comps) & (common >= least * np.minimum(sizes[:, None], sizes)) & (100 * np.minimum(ns[:, None], ns) >= 75 * np.maximum(ns[:, None], ns))
+        for x, y in np.argwhere(np.triu(fits, 1) if i == j else fits[: len(left), len(left) :]).tolist():
+            gx, gy = docs[x], docs[y if i == j else y + len(left)]
+            both = np.intersect1d(gx[3], gy[3], assume_unique=True)
+            if len(both) and both[0] != value:
+                continue
+            e = estimate(gx[4], gy[4], k)
+            # two whole sets: the estimate is the similarity
+            if e >= (exact if gx[2] <= k and gy[2] <= k else least):
+                yield (min(gx[0], gy[0]), max(gx[0], gy[0]), e)
 
     def run(batches):
         key, group = None, []
@@ -181,7 +221,7 @@ def _tiles(rows: DataFrame, tile: int, least: float, k: int) -> DataFrame:
         if len(group) > 1:
             yield _pairs(list(one(key, group)))
 
-    return spread.mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    return spread.mapInArrow(run, "a long, b long, est double")
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
@@ -233,29 +273,34 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: tuple[in
     comp = stash(components(links), "near-components")
 
     # what shares a list but not a component
-    placed = lists.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = placed.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "members")
-    blocks = F.ceil(F.col("members") / tile).cast("int")
-    put = lists.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("put"))
-    rows = placed.join(mixed, "value").select("value", "doc_id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    rows = rows.join(reps.join(put, "doc_id"), "doc_id").select("value", "doc_id", "comp", "n", "put", "sketch", "block", "blocks")
-    left = _tiles(rows, tile, least_estimate, k)
+    placed = stash(_placed(lists, comp), "near-placed")
+    mixed = stash(_mixed(placed), "near-mixed")
+    exact = similarity[0] / similarity[1] - 1e-9
+    pairs = [_compared(placed, mixed.where(F.col("members") <= SHORT), lists, reps, tile, least_estimate, k, exact)]
+    long = placed.join(mixed.where(F.col("members") > SHORT).select("value"), "value", "left_semi").select("doc_id").distinct()
+    fine = stash(sketches(texts.join(long, "doc_id", "left_semi"), FINE_K, width), "near-fine")
+    fine_lists = stash(inverted_lists(fine, k=FINE_K, shared=FINE_SHARED), "near-fine-lists")
+    fine_placed = stash(_placed(fine_lists, comp), "near-fine-placed")
+    pairs.append(_compared(fine_placed, _mixed(fine_placed), fine_lists, fine, tile, FINE_ESTIMATE, FINE_K, exact))
+    left = pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.max("est").alias("est"))
     left = stash(left.join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-    wave = 2
-    while left.count():
+    waves = 2
+    while n := left.count():
+        if n <= FEW:
+            waves = 0
         ends = left.select(F.col("a").alias("x"), "a", "b", "est").unionByName(left.select(F.col("b").alias("x"), "a", "b", "est"))
-        best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct() if wave else left.select("a", "b")
+        best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct() if waves else left.select("a", "b")
         more = stash(verify(best, texts, width=width, similarity=similarity), "near-links")
-        links = links.unionByName(more)
-        if not wave:
-            break
         if not more.isEmpty():
-            comp = stash(components(links), "near-components")
+            # what is known so far, as one edge per text, and the new links
+            known = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comp = stash(components(known.unionByName(more)), "near-components")
+        if not waves:
+            break
         c = comp.select("node", "component")
         left = left.join(best, ["a", "b"], "left_anti").join(c.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(c.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
         left = stash(left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "est"), "near-pairs")
-        wave -= 1
-    comp = stash(components(links), "near-components")
+        waves -= 1
 
     named = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"])
