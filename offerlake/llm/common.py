@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -212,6 +213,16 @@ class Encoder:
         return [b"".join(itertools.islice(ids, len(f))) for f in fine]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Many small lists live through one call and none is in a cycle: the collector would only walk them."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._coarse(t) if t and self.kind != "whole" and plain(t) else None for t in texts]
         ids = self._runs.values_of(list(itertools.chain.from_iterable(filter(None, parts))), self._runs_ids)
         out, at = [], 0
