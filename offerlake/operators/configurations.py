@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from .shared import stash
 
 CONFIGURATION = "name string, price double, currency string, billing_period string, cpu_model string, cpu_brand string, cpu_cores int, ram_mb int, storage_gb int, bandwidth_gb int, location string, order_url string, promo_code string, promo_url string"
 
@@ -79,13 +80,11 @@ def first_filled(*arrays: Column) -> Column:
 
 
 def batch_numbers(rows: DataFrame, order: list[str], size: int = 30) -> DataFrame:
-    """batch and place in it, by a total order. Global row numbers come from a range partitioning and each part's
-    offset, so no single task sees all rows."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
+    """batch and place in it, by a total order, for rows with any other columns. Global row numbers come from a range
+    partitioning and each part's offset, so no single task sees all rows. The parts are written down: planned twice, they
+    would be cut at other places."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stash(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "batches")
     counts = dealt.groupBy("_part").count()
     offsets = counts.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
     at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before") - 1

@@ -259,9 +259,10 @@ def explode_configs(spark, d):
     return out.select("p_partkey", "position", "plan_name", "price_amount", "price_currency", "billing_period", "cpu", "ram_mb", "location", "is_primary")
 
 
-@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 30 AS BIGINT) AS batch, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 30 AS BIGINT) AS place FROM documents")
+@query("SELECT doc_id, source, n_chars, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 30 AS BIGINT) AS batch, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 30 AS BIGINT) AS place FROM documents")
 def batch_chunks(spark, d):
-    return configurations.batch_numbers(t(spark, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", F.col("batch").cast("long"), F.col("place").cast("long"))
+    rows = t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return configurations.batch_numbers(rows, ["doc_id"]).select("doc_id", "source", "n_chars", F.col("batch").cast("long"), F.col("place").cast("long"))
 
 
 @query("""SELECT o_orderkey || '-' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, l_extendedprice, l_quantity) - 1) AS card_id, CASE l_returnflag WHEN 'A' THEN '$' WHEN 'N' THEN '€' ELSE 'R ' END || printf('%.2f', l_extendedprice) || CASE l_linestatus WHEN 'O' THEN '/mo' ELSE '/yr' END AS price,
@@ -331,14 +332,11 @@ def location_from_text(spark, d):
 @query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, min(event_id) OVER (PARTITION BY event_type, user_id % 50) < event_id AS is_duplicate FROM events")
 def stream_ingest(spark, d):
     """Events as threads: the stream's table, after all there is was ingested, equals the batch result."""
-    import tempfile
-    import uuid
-
+    from ..operators.shared import fresh_path
     from ..operators.tables import Store
     from ..streaming.ingest import ingest_stream
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="offerlake-stream-")).rstrip("/")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "stream")
     schema = t(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.select("event_id", "user_id", "ts", F.concat_ws("|", "event_type", F.col("user_id") % 50).alias("fingerprint"))
