@@ -9,15 +9,15 @@ epoch every island's elite moves to the next one. Each block then gives up its w
 are dealt into fewer blocks and packed again, until one block is left. So a task holds one block, and all
 that grows is the number of blocks.
 
-Null texts count as empty (the end id alone), repeated ids as separate rows of the same id, an empty table
-gives no rows; other columns are not read. Equal lengths are taken in the order of their rows.
+Null texts count as empty (the end id alone), repeated ids as separate rows of the same id, which may be of any type; an
+empty table gives no rows; other columns are not read. Equal lengths are taken in the order of their rows.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from functools import partial
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,27 +33,30 @@ ISLANDS = 3
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 6
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    end = int(end_id).to_bytes(4, "little")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_stream(batch.column(1).to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, crc32(part)))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return rows.mapInArrow(cut, PIECES)
+            done = 0
+            for ids, counts in enc.encode_column(batch.column(1), end_id):
+                doc_ids = batch.column(0).slice(done, len(counts))
+                done += len(counts)
+                parts = -(-counts // capacity)
+                owner = np.repeat(np.arange(len(counts)), parts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(capacity, counts[owner] - start)
+                data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(length).tolist()
+                crcs = [crc32(data[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)]
+                yield pa.record_batch([doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, length, crcs))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return rows.mapInArrow(cut, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {PIECES}")
 
 
 def best_fit(sizes: np.ndarray, order, capacity: int, bins: list[int] | None = None, fill: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -183,6 +186,13 @@ def _best(frame: pd.DataFrame, *, capacity: int, last: bool, level: int) -> pd.D
     })
 
 
+def _frames(step: Callable, **how) -> Callable:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return step(frame, **how)
+
+    return run
+
+
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 7) -> DataFrame:
     """The pieces (a column ``length`` from 1 to ``capacity``, any others) with a sequence_id and an offset each."""
     items = stash(pieces.withColumn("_item", F.monotonically_increasing_id()), "pack-pieces")
@@ -194,10 +204,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOC
         blocks = max(1, math.ceil(left / block_items))
         last = blocks == 1
         block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)).alias("block")
-        states = todo.select(block, "item", "length").groupBy("block").applyInPandas(partial(_starts, capacity=capacity, islands=islands, size=population, seed=seed), STATE)
+        states = todo.select(block, "item", "length").groupBy("block").applyInPandas(_frames(_starts, capacity=capacity, islands=islands, size=population, seed=seed), STATE)
         for e in range(epochs):
-            states = states.groupBy("block", "island").applyInPandas(partial(_epoch, capacity=capacity, islands=islands, generations=generations, size=population, seed=seed + e), STATE)
-        placed = stash(states.groupBy("block").applyInPandas(partial(_best, capacity=capacity, last=last, level=level), PLACED), "pack-level")
+            states = states.groupBy("block", "island").applyInPandas(_frames(_epoch, capacity=capacity, islands=islands, generations=generations, size=population, seed=seed + e), STATE)
+        placed = stash(states.groupBy("block").applyInPandas(_frames(_best, capacity=capacity, last=last, level=level), PLACED), "pack-level")
         done.append(placed.where(~F.col("loose")).select("item", "sequence_id", "offset"))
         todo = placed.where("loose").select("item", "length")
         level += 1

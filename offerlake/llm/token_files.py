@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32, encoder, shared_dir
+from .common import crc32, encoder, fresh_path
 
 SEQ_LEN = 2048
 BATCH_ROWS = 256
+#: Text of one file, about.
+FILE_BYTES = 256_000_000
 
 
 def _fs(uri: str):
@@ -73,39 +76,42 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, id_col:
     What reaches the driver is one small row per file, whatever the files hold.
     """
     spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n = partitions
+    if not n:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         context, enc = TaskContext.get(), encoder(tokenizer)
         part, (fs, base) = context.partitionId(), _fs(out_dir)
-        kind = np.dtype("<u2") if enc.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
+        kind = np.dtype("<u2") if enc.size <= 65536 else np.dtype("<u4")
         own = f"{base}/.part-{part:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
         fs.create_dir(base, recursive=True)
-        doc_ids, counts, total = [], [], 0
-        with fs.open_output_stream(own) as sink:
-            writer = _Writer(sink, kind, seq_len, batch_rows)
+        n_docs, total = 0, 0
+        with fs.open_output_stream(own) as sink, fs.open_output_stream(own + "-index") as index_sink:
+            writer, index = _Writer(sink, kind, seq_len, batch_rows), None
             for batch in batches:
-                doc_ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-                for ids in enc.encode_stream(batch.column(1).to_pylist()):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+                done = 0
+                for ids, counts in enc.encode_column(batch.column(1), end_id):
                     writer.add(ids.astype(kind))
-                    counts.append(len(ids))
-                    total += len(ids)
+                    first = total + np.cumsum(counts) - counts
+                    about = pa.record_batch([batch.column(0).slice(done, len(counts)), pa.array(first), pa.array(counts)], names=["doc_id", "first", "n_tokens"])
+                    index = index or pa.ipc.new_file(index_sink, about.schema)
+                    index.write_batch(about)
+                    done, total, n_docs = done + len(counts), total + len(ids), n_docs + len(counts)
             writer.close()
-        if not counts:
+            if index:
+                index.close()
+        if not n_docs:
             fs.delete_file(own)
+            fs.delete_file(own + "-index")
             return
-        counts_np = np.array(counts, np.int64)
-        with fs.open_output_stream(own + "-index") as sink:
-            index = pa.record_batch([pa.array(np.concatenate(doc_ids)), pa.array(np.cumsum(counts_np) - counts_np), pa.array(counts_np)], names=["doc_id", "first", "n_tokens"])
-            with pa.ipc.new_file(sink, index.schema) as out:
-                out.write_batch(index)
         path = f"part-{part:06d}.arrow"
         fs.move(own + "-index", f"{base}/{path}.index")
         fs.move(own, f"{base}/{path}")
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(counts)], pa.int64()), pa.array([total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
     files = [r.asDict() for r in rows.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()]
     start = 0
@@ -124,8 +130,13 @@ class TokenFile:
         about = json.loads(self._file.schema.metadata[b"offerlake"])
         self.seq_len, self.batch_rows = about["seq_len"], about["batch_rows"]
         self._at, self._batch = -1, None
-        with (pa.memory_map(path + ".index") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path + ".index")) as f:
-            self.index = pa.ipc.open_file(f).read_all().to_pandas()
+        self._index = pa.memory_map(path + ".index") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path + ".index")
+
+    def index(self) -> Iterator[pa.RecordBatch]:
+        """doc_id, first and n_tokens of the documents, a batch at a time."""
+        reader = pa.ipc.open_file(self._index)
+        for k in range(reader.num_record_batches):
+            yield reader.get_batch(k)
 
     def _get(self, k: int):
         if k != self._at:
@@ -148,9 +159,9 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def read_token_files(spark, files: list[dict], out_dir: str) -> DataFrame:
+def read_token_files(spark, files: list[dict], out_dir: str, *, id_type: str = "long") -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
 
@@ -158,15 +169,20 @@ def read_token_files(spark, files: list[dict], out_dir: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 file = TokenFile(f"{out_dir}/{row['path']}")
-                ix = file.index
-                for at in range(0, len(ix), 5000):
-                    some = ix.iloc[at : at + 5000]
-                    crcs = [crc32(file.tokens(f, n).astype("<u4").tobytes()) for f, n in zip(some["first"].tolist(), some["n_tokens"].tolist())]
-                    yield pa.record_batch([pa.array(some["doc_id"].to_numpy()), pa.array(some["first"].to_numpy() + row["start"]), pa.array(some["n_tokens"].to_numpy()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for ix in file.index():
+                    first, n = (ix.column(c).to_numpy() for c in (1, 2))
+                    ids, own = np.empty(0, np.uint32), []
+                    for f, m in zip(first.tolist(), n.tolist()):
+                        if m > len(ids):
+                            # the next 2 million ids at once, or one document's
+                            at, to = f, max(f + m, min(f + 2_000_000, int(first[-1] + n[-1])))
+                            ids = file.tokens(at, to - at).astype("<u4")
+                        own.append(crc32(ids[:m]))
+                        ids = ids[m:]
+                    yield pa.record_batch([ix.column(0), pa.array(first + row["start"]), ix.column(2), pa.array(own, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame([(f["path"], f["start"]) for f in files], "path string, start long")
     return rows.repartition(len(files)).mapInArrow(read, schema)
 
 
-def fresh_dir(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+fresh_dir = fresh_path

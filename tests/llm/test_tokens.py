@@ -1,30 +1,49 @@
 """Encoder, token files and packing against plain uses of the tokenizers library."""
 
+import functools
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from offerlake.llm import packing
 from offerlake.llm.common import Encoder
 from offerlake.llm.queries import tokenizer_path
 from offerlake.llm.token_files import TokenFile, fresh_dir, read_token_files, write_token_files
 
+_rng = random.Random(4)
 TEXTS = ["a  b\n\n c \t", " 's it's ÀÉ  é\n", "x y z", "İstanbul ŉ", "<|endoftext|> <|EndofText|>", "½ ²3 ª", "", None, "naïve façade 12345 __x__ #$%", "日本語 text", "don't WE'LL", " nb sp\u0085", "thon, Thon. tHon"]
-ROWS = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(500, "word " * 5000), (501, "same"), (501, "same"), (None, "no id")]
+ROWS = [(i * 3, t) for i, t in enumerate(TEXTS[:60])] + [(500, "word " * 5000), (501, "same"), (501, "same"), (None, "no id")]
+
+
+@functools.cache
+def library(name):
+    """The file as the library reads it, which nothing of ours has touched."""
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
     e = Encoder(tokenizer_path(name), most=5)
-    for _ in range(2):
-        got = list(e.encode_stream(TEXTS, at_once=30))
-        assert got == [np.array(e.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
+    assert e.kind != "whole"
+    want = [r.ids for r in library(name).encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
+    for at_once in (1, 300, 10**6):
+        for kind in (pa.string(), pa.large_string()):
+            got = [x.tolist() for ids, counts in e.encode_column(pa.array([None, *TEXTS], kind).slice(1), at_once=at_once) for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == want
+    closed = [x.tolist() for ids, counts in e.encode_column(pa.array(TEXTS), 7, at_once=300) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert closed == [x + [7] for x in want]
+    e.kind = "whole"
+    assert [len(c) for _, c in e.encode_column(pa.array(TEXTS))] == [len(TEXTS)] and e.encode_some(pa.array(TEXTS))[0].tolist() == sum(want, [])
+    assert list(e.encode_column(pa.array([], pa.string()))) == []
 
 
 def ids_of(name, text):
-    return Encoder(tokenizer_path(name)).tok.encode(text or "", add_special_tokens=False).ids + [0]
+    return library(name).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +75,14 @@ def test_files_round_trip(spark, docs):
     assert seen == whole
 
 
+def test_ids_of_other_types(spark):
+    rows = spark.createDataFrame([("b", "x y"), ("a", None), ("b", "")], "doc_id string, text string")
+    to = fresh_dir(spark, "test-strings")
+    got = read_token_files(spark, write_token_files(rows, tokenizer_path("byte_bpe_50k.json"), to), to, id_type="string").collect()
+    assert [(r.doc_id, r.n_tokens) for r in sorted(got, key=lambda r: r.start)] == [("a", 1), ("b", 1), ("b", 3)]
+    assert sorted((r.doc_id, r.length) for r in packing.pack_documents(rows, tokenizer_path("word_bpe_49k.json")).collect()) == [("a", 1), ("b", 1), ("b", 3)]
+
+
 def test_no_documents(spark, docs):
     to = fresh_dir(spark, "test-none")
     files = write_token_files(docs.limit(0), tokenizer_path("byte_bpe_50k.json"), to)
