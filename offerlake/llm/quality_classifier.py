@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import utf8
 from .labelled import MOST_ROWS, sample
@@ -133,23 +134,21 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "qu
             x = _matrix(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(measure, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")
+    got = rows.select("doc_id", "text", "label").mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, x array<double>").toPandas().sort_values("doc_id")
     return boost(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Trees, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``; it replaces one of that name."""
-    rows = docs.drop("score")
+def score(docs: DataFrame, model: Trees, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``out_col``; it replaces one of that name."""
+    rows = docs.drop(out_col)
     text = rows.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             s = model.scores(_matrix(batch.column(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, out_col])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("score", DoubleType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(out_col, DoubleType()))
 
 
 def id_remainder(id_col: str, by: int) -> Column:

@@ -96,9 +96,9 @@ WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM document
 x AS (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos FROM s),
 y AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM x),
 b AS (SELECT t, min(struct_pack(d := doc_id, p := pos)) AS f FROM y WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
-k AS (SELECT y.doc_id, y.pos, y.line, b.t IS NOT NULL AND NOT (b.f.d = y.doc_id AND b.f.p = y.pos) AS gone FROM y LEFT JOIN b ON y.t = b.t)
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM k GROUP BY doc_id
+k AS (SELECT y.doc_id, y.pos, y.line, b.t IS NOT NULL AND NOT (b.f.d = y.doc_id AND b.f.p = y.pos) AS gone FROM y LEFT JOIN b ON y.t = b.t),
+g AS (SELECT doc_id, count(*) AS n, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS r, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
@@ -141,8 +141,9 @@ FROM f JOIN verdict USING (doc_id)
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import fresh_dir, read_token_files, write_token_files
 
-    to = fresh_dir(spark, "token-files")
-    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), to), to)
+    docs, to = table(spark, sf_dir, "documents"), fresh_dir(spark, "token-files")
+    files = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), to)
+    return read_token_files(spark, files, to, id_type=docs.schema["doc_id"].dataType.simpleString())
 
 
 def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
