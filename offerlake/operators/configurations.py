@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ def explode_configurations(deals: DataFrame, deal: str = "deal") -> DataFrame:
     own_place = blank_to_null(_get("_c", "location", "string"))
     locations = F.try_variant_get(deal, "$.locations", "array<string>")
     return rows.select(
-        *deals.columns, "position", _get("_c", "name", "string").alias("plan_name"), _get("_c", "price", "double").alias("price_amount"),
+        *deals.columns, "position", _get("_c", "name", "string").alias("plan_name"), F.coalesce(_get("_c", "price_amount", "double"), _get("_c", "price", "double")).alias("price_amount"),
         absent("currency", "USD").alias("price_currency"), absent("billing_period", "month").alias("billing_period"),
         cpu_label(_get("_c", "cpu_model", "string"), _get("_c", "cpu_brand", "string"), cores).alias("cpu"), _get("_c", "cpu_brand", "string").alias("cpu_brand"), cores.alias("cpu_cores"),
         *[_get("_c", c, "int").alias(c) for c in ("ram_mb", "storage_gb", "bandwidth_gb")],
@@ -91,7 +94,30 @@ def batch_numbers(rows: DataFrame, order: list[str], size: int = 30) -> DataFram
     return dealt.join(F.broadcast(offsets), dealt["_part"] == offsets["_p"]).withColumn("_at", at).withColumns({"batch": F.floor(F.col("_at") / size), "place": F.col("_at") % size}).drop("_part", "_p", "_before", "_at")
 
 
+#: How many characters of a field reach a prompt, or of a page the extractor.
+SUMMARY_CHARS, CONTENT_CHARS, POST_CHARS, PAGE_CHARS = 500, 800, 3000, 8000
+
+
 def prompt_block(number: Column, title: Column, url: Column, summary: Column, content: Column) -> Column:
     """A thread as a block of a prompt; summary and content are cut, a rule ends it."""
     part = lambda label, c, n=None: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c if n is None else F.substring(c, 1, n)))
-    return F.concat_ws("\n", F.concat(F.lit("Thread "), number.cast("string")), part("Title", title), part("URL", url), part("Summary", summary, 500), part("Content", content, 800), F.lit("---"))
+    return F.concat_ws("\n", F.concat(F.lit("Thread "), number.cast("string")), part("Title", title), part("URL", url), part("Summary", summary, SUMMARY_CHARS), part("Content", content, CONTENT_CHARS), F.lit("---"))
+
+
+ENVELOPES = "batch long, envelope string, error string"
+
+
+def extracted(threads: DataFrame, extractor: Callable[[list[dict]], str], *, order: list[str], size: int = 30) -> DataFrame:
+    """(batch, envelope, error): what a callable answers to each batch of ``size`` threads, in order. It gets dicts of the thread's
+    columns and returns JSON text. A batch it fails on has its error in place of an answer, and no other batch is touched."""
+    rows = batch_numbers(threads, order, size)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        batch = int(frame["batch"].iloc[0])
+        try:
+            some = frame.sort_values("place").drop(columns=["batch", "place"]).to_dict("records")
+            return pd.DataFrame([(batch, extractor(some), None)], columns=["batch", "envelope", "error"])
+        except Exception as e:  # one bad answer must not end the others' job
+            return pd.DataFrame([(batch, None, f"{type(e).__name__}: {e}")], columns=["batch", "envelope", "error"])
+
+    return rows.groupBy("batch").applyInPandas(run, ENVELOPES)

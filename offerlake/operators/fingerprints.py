@@ -28,9 +28,21 @@ def shingles(text: Column, width: int = 3) -> Column:
     return F.when(n < width, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - width), lambda i: F.substring(text, i + 1, F.lit(width)))))
 
 
+#: The least prime above 2**32.
+PRIME = 4_294_967_311
+
+
+def permutation(k: int) -> tuple[int, int]:
+    """Multiplier and addend of permutation ``k``; both stay below 2**30, so that no product leaves 64 bits."""
+    return 1 + (k * 2_654_435_761 + 374_761_393) % (2**30 - 1), (k * 2_246_822_519 + 668_265_263) % 2**30
+
+
 def minhash(items: Column, permutations: int = PERMUTATIONS) -> Column:
-    """For each permutation the least MD5 of (number, item): portable, and one pass over the items per permutation."""
-    return let(items, lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda k: F.array_min(F.transform(s, lambda x: F.md5(F.concat(k.cast("string"), F.lit(":"), x).cast("binary"))))))
+    """For each permutation the least of (a h + b) mod ``PRIME`` over the items' 32-bit hashes h; nulls where there are none.
+    Every item is hashed once (the head of its MD5, which other engines have too)."""
+    hashes = F.transform(items, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+    rules = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(permutation, range(permutations))])
+    return let(hashes, lambda s: F.transform(rules, lambda p: F.array_min(F.transform(s, lambda h: (h * p["a"] + p["b"]) % PRIME))))
 
 
 def fuzzy_text(title: Column, domain: Column, body: Column) -> Column:
@@ -39,7 +51,7 @@ def fuzzy_text(title: Column, domain: Column, body: Column) -> Column:
 
 def fuzzy_fingerprint(title: Column, domain: Column, body: Column, permutations: int = PERMUTATIONS) -> Column:
     """SHA-1 of the MinHash signature: equal exactly where signatures are."""
-    return F.sha1(F.array_join(F.transform(minhash(shingles(fuzzy_text(title, domain, body)), permutations), lambda x: F.coalesce(x, F.lit("-"))), ",").cast("binary"))
+    return F.sha1(F.array_join(F.transform(minhash(shingles(fuzzy_text(title, domain, body)), permutations), lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").cast("binary"))
 
 
 def digest_similarity(a: Column, b: Column) -> Column:

@@ -42,6 +42,15 @@ def assigned(table: DataFrame, where: Column, values: dict[str, Column]) -> Data
     return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def modified(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """(matched, modified): rows the condition holds for, and those of them that the update changes."""
+    hit = F.coalesce(where, F.lit(False))
+    same = F.lit(True)
+    for c, v in values.items():
+        same = same & F.col(c).eqNullSafe(v)
+    return table.agg(F.count_if(hit).alias("matched"), F.count_if(hit & ~same).alias("modified"))
+
+
 def without(table: DataFrame, gone: DataFrame, key: str, parent: str) -> DataFrame:
     """Cascade: rows whose parent is gone go."""
     return table.join(gone.select(F.col(parent).alias(key)).distinct(), key, "left_anti")
@@ -92,3 +101,20 @@ class Store:
         df.write.parquet(own)
         if not self._fs.rename(self._path(own), self._path(f"{self.path}/{table}/v{number:012d}")):
             raise OSError(f"could not publish {table}")
+
+    def append(self, table: str, df: DataFrame, batch: int) -> None:
+        """Add the rows of a numbered batch; a batch that is there already is left as it is, so a repeated run adds nothing."""
+        at = self._path(f"{self.path}/{table}/b{batch:012d}")
+        if self._fs.exists(at):
+            return
+        own = f"{self.path}/{table}/_{uuid.uuid4().hex}"
+        df.write.parquet(own)
+        if not self._fs.rename(self._path(own), at):
+            raise OSError(f"could not publish {table}")
+
+    def rows(self, table: str, before: int | None = None) -> DataFrame | None:
+        """All appended batches, or those numbered below ``before``; None without any."""
+        at = self._path(f"{self.path}/{table}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        names = sorted(n for n in names if n.startswith("b") and (before is None or int(n[1:]) < before))
+        return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names]) if names else None

@@ -233,8 +233,12 @@ def duplicate_flag(spark, d):
     return duplicates.duplicate_flags(prints, post="doc_id", order=["doc_id"])
 
 
-@query("""WITH s AS (SELECT doc_id, lower(substring(coalesce(text, ''), 1, 200)) AS x FROM documents), g AS (SELECT doc_id, CASE WHEN length(x) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))) END AS sh FROM s)
-SELECT doc_id, array_to_string(list_transform(range(8), lambda k: list_min(list_transform(sh, lambda y: md5(k || ':' || y)))), ',') AS signature FROM g""")
+_RULES = "[" + ", ".join(f"[{a}, {b}]" for a, b in map(fingerprints.permutation, range(8))) + "]"
+
+
+@query(f"""WITH s AS (SELECT doc_id, lower(substring(coalesce(text, ''), 1, 200)) AS x FROM documents),
+g AS (SELECT doc_id, CASE WHEN length(x) < 3 THEN [] ELSE list_transform(list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))), lambda y: CAST('0x' || substring(md5(y), 1, 8) AS BIGINT)) END AS h FROM s)
+SELECT doc_id, array_to_string(list_transform({_RULES}, lambda r: list_min(list_transform(h, lambda y: (y * CAST(r[1] AS BIGINT) + r[2]) % {fingerprints.PRIME}))), ',') AS signature FROM g""")
 def minhash_signature(spark, d):
     sh = fingerprints.shingles(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 200)))
     return t(spark, d, "documents").select("doc_id", F.array_join(fingerprints.minhash(sh, 8), ",").alias("signature"))
@@ -269,7 +273,7 @@ def batch_chunks(spark, d):
 CASE WHEN l_quantity >= 25 THEN CAST(l_quantity AS INT) || 'MB' ELSE NULL END AS ram, coalesce(nullif(l_returnflag, ''), o_orderpriority) AS provider FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
 def flatten_cards(spark, d):
     posts = t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority")
-    nested = offers.with_items(posts, t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity"), C)
+    nested = offers.with_items(posts, t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity"), C, narrow=True)
     cards, i = offers.flattened(nested, C), F.col("item")
     money_ = display.price_label(i["l_extendedprice"], F.when(i["l_returnflag"] == "A", "USD").when(i["l_returnflag"] == "N", "EUR").otherwise(i["l_returnflag"]), F.when(i["l_linestatus"] == "O", "month").otherwise("year"))
     return cards.select("card_id", money_.alias("price"), display.ram_label(F.when(i["l_quantity"] >= 25, i["l_quantity"].cast("int"))).alias("ram"), offers.filled(i["l_returnflag"], F.col("o_orderpriority")).alias("provider"))
@@ -342,4 +346,7 @@ def stream_ingest(spark, d):
     rows = rows.select("event_id", "user_id", "ts", F.concat_ws("|", "event_type", F.col("user_id") % 50).alias("fingerprint"))
     store = Store(spark, f"{root}/tables")
     ingest_stream(rows, store, ["event_id"], f"{root}/checkpoint", order=["event_id"]).awaitTermination()
-    return store.read("posts").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "is_duplicate")
+    return store.rows("posts").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "is_duplicate")
+
+
+from . import site_catalog  # noqa: E402, F401  (registers its queries in the same table)

@@ -116,21 +116,27 @@ class OffersQuery:
         return self.matching(posts, items).orderBy(*self.order()).offset((self.page - 1) * self.page_size).limit(self.page_size)
 
     def page_nested(self, posts: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-        """The page's posts, each with its (matching) items as an array and its source as a struct, in order."""
-        wanted = self.item_filter()
-        page = self.page_posts(posts, items)
-        out = with_items(page, items if wanted is None else items.where(wanted), self.columns)
+        """The page's posts, each with its (matching) items as an array and its source as a struct, in order.
+
+        The page is read once: its rows, ``MOST_PAGE`` at most, come to the driver, and their keys are a filter that reaches the scan of items.
+        """
+        wanted, c = self.item_filter(), self.columns
+        found = self.page_posts(posts, items)
+        rows = found.collect()
+        page = posts.sparkSession.createDataFrame(rows, found.schema)
+        own = items.where(F.col(c.item_post).isin([r[c.post_id] for r in rows]))
+        out = with_items(page, own if wanted is None else own.where(wanted), c)
         if sources is not None:
             out = with_source(out, sources, self.columns)
         return out.orderBy(*self.order())
 
 
-def with_items(posts: DataFrame, items: DataFrame, columns: Columns | None = None, name: str = "items") -> DataFrame:
-    """Left outer join to the array of each post's items, in a stable order; none give an empty array."""
+def with_items(posts: DataFrame, items: DataFrame, columns: Columns | None = None, name: str = "items", *, narrow: bool = False) -> DataFrame:
+    """Left outer join to the array of each post's items, in a stable order; none give an empty array. ``narrow``: where few of
+    the items belong to these posts, a semi join leaves out the others before they are grouped."""
     c = columns or Columns()
     rest = [x for x in items.columns if x != c.item_post]
-    keys = posts.select(F.col(c.post_id).alias("_k"))
-    own = items.join(keys, F.col(c.item_post) == F.col("_k"), "left_semi")
+    own = items.join(posts.select(F.col(c.post_id).alias("_k")), F.col(c.item_post) == F.col("_k"), "left_semi") if narrow else items
     grouped = own.groupBy(F.col(c.item_post).alias("_k")).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
     out = posts.join(grouped, F.col(c.post_id) == F.col("_k"), "left").drop("_k")
     return out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))

@@ -1,13 +1,11 @@
-"""Explicit schemas of the four tables and the parser's rows, and their natural keys."""
-
-from pyspark.sql.types import StructType
+"""Explicit schemas (as DDL) of the four tables and the parser's rows, and their natural keys."""
 
 METADATA = "struct<provider_name: string, provider_domain: string, highlights: array<string>, expires_at: string, extracted_at: timestamp>"
-POSTS = StructType.fromDDL(f"id string, source_id string, source_name string, source_thread_id string, canonical_url string, title string, author string, posted_at timestamp, last_seen_at timestamp, category string, raw_html string, raw_text string, is_duplicate boolean, created_at timestamp, updated_at timestamp, metadata {METADATA}")
-ITEMS = StructType.fromDDL("post_id string, provider_name string, plan_name string, provider_domain string, price_amount double, price_currency string, billing_period string, price_monthly double, location string, cpu string, cpu_brand string, cpu_cores int, ram_mb int, storage_gb int, bandwidth_gb int, ipv4 int, ipv6 boolean, order_url string, promo_code string, promo_url string, is_primary boolean, created_at timestamp")
-SOURCES = StructType.fromDDL("name string, base_url string, enabled boolean, created_at timestamp, updated_at timestamp")
-FINGERPRINTS = StructType.fromDDL("post_id string, fingerprint string, fingerprint_type string, created_at timestamp")
-THREADS = StructType.fromDDL("source_name string, url string, title string, category string, source_thread_id string, posted_at timestamp, summary string, html string")
+POSTS = f"id string, source_id string, source_name string, source_thread_id string, canonical_url string, title string, author string, posted_at timestamp, last_seen_at timestamp, category string, raw_html string, raw_text string, is_duplicate boolean, created_at timestamp, updated_at timestamp, metadata {METADATA}"
+ITEMS = "post_id string, provider_name string, plan_name string, provider_domain string, price_amount double, price_currency string, billing_period string, price_monthly double, location string, cpu string, cpu_brand string, cpu_cores int, ram_mb int, storage_gb int, bandwidth_gb int, ipv4 int, ipv6 boolean, order_url string, promo_code string, promo_url string, is_primary boolean, created_at timestamp"
+SOURCES = "name string, base_url string, enabled boolean, created_at timestamp, updated_at timestamp"
+FINGERPRINTS = "post_id string, fingerprint string, fingerprint_type string, created_at timestamp"
+THREADS = "source_name string, url string, title string, category string, source_thread_id string, posted_at timestamp, summary string, html string"
 
 KEYS = {"posts": ["source_id", "canonical_url"], "sources": ["name"], "fingerprints": ["post_id", "fingerprint", "fingerprint_type"]}
 

@@ -15,12 +15,16 @@ ITEM = "title string, link string, pubDate string, description string, encoded s
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items of files, by the built-in XML reader."""
-    return spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").schema(ITEM).load(path)
+    """RSS items of files, by the built-in XML reader, each with its feed (the file) and its place there."""
+    rows = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").schema(ITEM).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("feed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
 
 
 def threads(entries: DataFrame, source: str, as_of: Column, thread_id, categories: tuple) -> DataFrame:
-    """Discovered threads of feed entries: titles cleaned, dates or ``as_of``, summary or else content."""
+    """Discovered threads of feed entries: titles cleaned, dates or ``as_of``, summary or else content. Of entries that know their
+    ``feed`` and ``place`` only the source's first ones (``CAPS``) of each feed are taken."""
+    if {"feed", "place"} <= set(entries.columns):
+        entries = capped(entries, ["feed"], ["place"], CAPS[source])
     plain = F.regexp_replace("pubDate", r"^\s*[A-Za-z]+,\s*", "")  # without the day's name
     date = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")], F.try_to_timestamp("pubDate"), as_of)
     title = clean_text(F.col("title"))

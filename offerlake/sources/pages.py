@@ -58,15 +58,16 @@ SPECS = {
     "listings": PageSpec(("h1, .server-title, .listing-title",), (".provider-name, .company-name, .seller-name",), (), (".server-description, .listing-content, .description, article",), "Server Offer", urls.listing_id, cat.LISTINGS, spec_rows=".spec-row, .spec-item, .server-spec, tr", spec_price=".price, .server-price, .listing-price", date_default_now=True),
 }
 
-WALKED = "url string, page_title string, page_author string, page_date string, content string, links array<struct<href: string, text: string>>, spec_rows array<struct<text: string, value: string>>, spec_price string"
+WALKED = "url string, page_title string, page_author string, page_date string, content string, links array<struct<href: string, text: string>>, spec_rows array<struct<text: string, value: string>>, spec_price string, error string"
 
 
 def registry(name: str) -> PageSpec | None:
     return SPECS.get(name)
 
 
-def walk(pages: DataFrame, spec: PageSpec, url: str = "url", html: str = "html") -> DataFrame:
-    """The columns of ``WALKED`` for each page."""
+def walk(pages: DataFrame, spec: PageSpec, url: str = "url", html: str = "html", *, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``WALKED`` for each page, and those named by ``keep``. A page that can't be read has its ``error`` and nothing else."""
+    names = [x.strip().split()[0] for x in ("url", "page_title", "page_author", "page_date", "content", "links", "spec_rows", "spec_price", "error")]
 
     def one(u: str, h: str | None) -> tuple:
         root = tree(h)
@@ -78,25 +79,35 @@ def walk(pages: DataFrame, spec: PageSpec, url: str = "url", html: str = "html")
             value = r.first(".spec-value, td:last-child")
             rows.append({"text": r.text().lower(), "value": value.text() if value else None})
         cost = root.first(spec.spec_price) if spec.spec_price else None
-        return (u, title and title.text(), author and author.text(), when, content and content.text(), links, rows, cost and cost.text())
+        return (u, title and title.text(), author and author.text(), when, content and content.text(), links, rows, cost and cost.text(), None)
+
+    def guarded(u: str, h: str | None) -> tuple:
+        try:
+            return one(u, h)
+        except Exception as e:  # one bad page must not end the job
+            return (u, None, None, None, None, [], [], None, f"{type(e).__name__}: {e}")
 
     def run(frames):
-        names = [x.split()[0] for x in ("url", "page_title", "page_author", "page_date", "content", "links", "spec_rows", "spec_price")]
         for frame in frames:
-            yield pd.DataFrame([one(u, h) for u, h in zip(frame["url"], frame["html"])], columns=names)
+            out = pd.DataFrame([guarded(u, h) for u, h in zip(frame["url"], frame["html"])], columns=names)
+            for c in keep or []:
+                out[c] = frame[c]
+            yield out
 
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, WALKED)
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), *(keep or []))
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep or [])
+    return rows.mapInPandas(run, WALKED + kept)
 
 
-def posts(walked: DataFrame, spec: PageSpec, as_of: Column, *, category: Column | None = None, feed_title: Column | None = None) -> DataFrame:
-    """Post fields of walked pages."""
+def posts(walked: DataFrame, spec: PageSpec, as_of: Column, *, category: Column | None = None, feed_title: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Post fields of walked pages, and the columns named by ``keep``."""
     title = F.coalesce(blank_to_null(clean_text(F.col("page_title"))), feed_title if feed_title is not None else F.lit(None).cast("string"), F.lit(spec.default_title))
     when = posted_at(F.col("page_date"))
     rows = walked.withColumn("title", title)
     own = cat.categorize(F.concat_ws(" ", F.col("url"), F.col("title")) if spec.single_item else F.col("title"), spec.categories)
     return rows.select(
         F.col("url").alias("canonical_url"), spec.thread_id(F.col("url")).alias("source_thread_id"), "title", blank_to_null(clean_text(F.col("page_author"))).alias("author"),
-        (F.coalesce(when, as_of) if spec.date_default_now else when).alias("posted_at"), (F.coalesce(blank_to_null(category), own) if category is not None else own).alias("category"), clean_text(F.col("content")).alias("raw_text"),
+        (F.coalesce(when, as_of) if spec.date_default_now else when).alias("posted_at"), (F.coalesce(blank_to_null(category), own) if category is not None else own).alias("category"), clean_text(F.col("content")).alias("raw_text"), *(keep or []),
     )
 
 

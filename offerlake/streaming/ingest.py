@@ -1,35 +1,60 @@
-"""Threads as a stream: each micro-batch is checked against the whole history, which is a table and not stream state."""
+"""Threads as a stream: each micro-batch is checked against the whole history, which is append-only tables and not stream state.
+
+Nothing that was written is written again. ``posts`` gets the new posts of a batch, ``owners`` the fingerprints that a batch was
+first to show, ``seen`` a stamp for each key of a batch; the last stamp of a key is an aggregate (``last_seen``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.duplicates import duplicate_flags
-from ..operators.tables import Store, new_rows, touched
+from ..operators.tables import Store, new_rows
 
 
-def ingest_batch(store: Store, batch: DataFrame, keys: list[str], *, at: str = "ts", order: list[str] | None = None, fingerprint: str = "fingerprint", table: str = "posts") -> None:
-    """New keys are appended, with a duplicate flag against history and batch; known keys get ``last_seen_at``. A batch that
-    is run again finds its keys there and changes nothing but that stamp."""
-    order = order or [at, *keys]
-    stamp = batch.groupBy(*keys).agg(F.max(at).alias("_at"))
-    if not store.exists(table):
-        base = batch.limit(0).withColumns({"last_seen_at": F.col(at), "is_duplicate": F.lit(False)})
+def fresh(batch: DataFrame, history: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of the batch whose key the history lacks, one for each key. Of the history only the keys are read."""
+    return new_rows(batch, batch.limit(0) if history is None else history, keys, [F.col(c) for c in order])
+
+
+def flagged(posts: DataFrame, prints: DataFrame, owners: DataFrame | None, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``posts`` with is_duplicate, and the fingerprints that are new. ``prints``: keys, the columns of ``order`` and fingerprint.
+
+    A post is a duplicate where the history owns a fingerprint of it, or an earlier post of the batch. The history is read
+    for the batch's fingerprints alone; nulls are left out before any shuffle.
+    """
+    rank = F.struct(*order, *keys)
+    prints = prints.where("fingerprint is not null").withColumn("_rank", rank)
+    first = prints.groupBy("fingerprint").agg(F.min("_rank").alias("_first"))
+    if owners is None:
+        first = first.withColumn("_old", F.lit(False))
     else:
-        base = store.read(table)
-    fresh = new_rows(batch, base, keys, [F.col(c) for c in order])
-    every = base.select(*keys, fingerprint, *[c for c in order if c not in keys], F.lit(0).alias("_age")).unionByName(fresh.select(*keys, fingerprint, *[c for c in order if c not in keys], F.lit(1).alias("_age")))
-    flags = duplicate_flags(every.withColumn("_post", F.struct(*keys)), post="_post", order=["_age", *order], fingerprint=fingerprint).select("_post.*", "is_duplicate")
-    old = base.join(stamp, keys, "left").withColumn("last_seen_at", F.greatest("last_seen_at", "_at")).select(*base.columns)
-    new = fresh.join(flags, keys, "left").withColumn("last_seen_at", F.col(at)).select(*base.columns)
-    store.save(table, old.unionByName(new))
+        old = owners.select("fingerprint").join(first.select("fingerprint"), "fingerprint", "left_semi").distinct().withColumn("_old", F.lit(True))
+        first = first.join(old, "fingerprint", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    hit = prints.join(first, "fingerprint").where(F.col("_old") | (F.col("_first") < F.col("_rank"))).select(*keys).distinct().withColumn("is_duplicate", F.lit(True))
+    out = posts.join(hit, keys, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    return out, first.where("not _old").select("fingerprint")
+
+
+def ingest_batch(store: Store, batch: DataFrame, keys: list[str], number: int, *, at: str = "ts", order: list[str] | None = None, fingerprint: str = "fingerprint", table: str = "posts") -> None:
+    """New keys are appended, with a duplicate flag against history and batch; every key gets a stamp. A batch that is run again
+    under its number finds its parts there and adds nothing."""
+    order = order or [at, *keys]
+    new = fresh(batch, store.rows(table, number), keys, order)
+    prints = new.select(*dict.fromkeys([*keys, *order]), F.col(fingerprint).alias("fingerprint"))
+    rows, owners = flagged(new, prints, store.rows(f"{table}-owners", number), keys, order)
+    store.append(table, rows, number)
+    store.append(f"{table}-owners", owners, number)
+    store.append(f"{table}-seen", batch.groupBy(*keys).agg(F.max(at).alias("seen_at")), number)
+
+
+def last_seen(store: Store, keys: list[str], table: str = "posts") -> DataFrame:
+    """The posts with last_seen_at, the newest stamp of their key."""
+    stamps = store.rows(f"{table}-seen").groupBy(*keys).agg(F.max("seen_at").alias("last_seen_at"))
+    return store.rows(table).join(stamps, keys, "left")
 
 
 def ingest_stream(stream: DataFrame, store: Store, keys: list[str], checkpoint: str, *, minutes: int | None = None, **how):
     """Start the query: every ``minutes``, or, without, once over what is there."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest_batch(store, batch, keys, **how))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: ingest_batch(store, batch, keys, number, **how))
     return (writer.trigger(processingTime=f"{minutes} minutes") if minutes else writer.trigger(availableNow=True)).start()
-
-
-__all__ = ["ingest_batch", "ingest_stream", "touched"]

@@ -6,7 +6,7 @@ from offerlake.operators import configurations as conf
 from offerlake.operators import duplicates, fingerprints, tables
 from offerlake.operators.tables import Store
 from offerlake.plans import health
-from offerlake.streaming.ingest import ingest_batch, ingest_stream
+from offerlake.streaming.ingest import ingest_batch, ingest_stream, last_seen
 
 
 def test_strict_fingerprint(spark):
@@ -68,15 +68,56 @@ def test_store_and_stream(spark, tmp_path):
     rows = [(i, f"k{i % 40}", f"f{i % 17}") for i in range(100)]
     for part in range(4):
         spark.createDataFrame(rows[part * 25 : part * 25 + 25], "ts int, key string, fingerprint string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.createDataFrame(rows, "ts int, key string, fingerprint string")
     whole = Store(spark, str(tmp_path / "batch"))
-    ingest_batch(whole, spark.createDataFrame(rows, "ts int, key string, fingerprint string"), ["key"])
-    ingest_batch(whole, spark.createDataFrame(rows, "ts int, key string, fingerprint string"), ["key"])  # again: nothing new
+    for number in (0, 0, 1):  # again, under its number and under another: nothing new
+        ingest_batch(whole, batch, ["key"], number)
     streamed = Store(spark, str(tmp_path / "tables"))
     stream = spark.readStream.schema("ts int, key string, fingerprint string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest_stream(stream, streamed, ["key"], str(tmp_path / "cp")).awaitTermination()
-    a, b = ({(r.key, r.last_seen_at) for r in s.read("posts").collect()} for s in (whole, streamed))
+    a, b = ({(r.key, r.last_seen_at) for r in last_seen(s, ["key"]).collect()} for s in (whole, streamed))
     assert a == b and len(a) == 40
-    assert whole.read("posts").where("not is_duplicate").count() == 17
+    assert whole.rows("posts").where("not is_duplicate").count() == 17 and streamed.rows("posts").count() == 40
+    assert whole.rows("posts", 0) is None and whole.rows("posts", 1).count() == 40
+    snapshots = Store(spark, str(tmp_path / "snapshots"))
+    assert not snapshots.exists("t")
+    snapshots.save("t", batch)
+    snapshots.save("t", batch.limit(1))
+    assert snapshots.read("t").count() == 1
+
+
+def test_batches_of_rows_with_other_columns(spark):
+    rows = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.col("id").alias("x"), F.lit("text").alias("y")).repartition(16)
+    got = conf.batch_numbers(rows, ["k"], 30)
+    assert got.columns == ["k", "x", "y", "batch", "place"]
+    assert got.where("batch * 30 + place <> k").count() == 0 and got.count() == 200_000
+
+
+def test_extractor_errors_stay_in_their_batch(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "id int, title string")
+
+    def answer(threads):
+        if any(t["id"] == 3 for t in threads):
+            raise ValueError("no answer")
+        return '{"deals":[' + ",".join('{"id":"%d","is_valid":true}' % t["id"] for t in threads) + "]}"
+
+    got = conf.extracted(rows, answer, order=["id"], size=3)
+    assert [(r.batch, r.error) for r in got.orderBy("batch").collect()] == [(0, None), (1, "ValueError: no answer"), (2, None)]
+    assert sorted(r.deal_id for r in conf.valid_deals(got, "envelope").collect()) == ["0", "1", "2", "6"]
+
+
+def test_modified_count(spark):
+    rows = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "k string, enabled boolean")
+    assert tuple(tables.modified(rows, F.col("k").isin("a", "b"), {"enabled": F.lit(True)}).first()) == (2, 1)
+
+
+def test_signature_is_the_definition(spark):
+    import hashlib
+
+    words = ["abc", "bcd", "é"]
+    got = spark.range(1).select(fingerprints.minhash(F.array(*map(F.lit, words)), 5), fingerprints.minhash(F.array().cast("array<string>"), 2)).first()
+    h = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+    assert got[0] == [min((x * a + b) % fingerprints.PRIME for x in h) for a, b in map(fingerprints.permutation, range(5))] and got[1] == [None, None]
 
 
 def test_health(spark):
