@@ -52,19 +52,22 @@ def offered_items(valid: DataFrame) -> DataFrame:
     return _item_columns(rows)
 
 
-def parsed(valid: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Posts, items and rejected pages of all sites, each by its own rules."""
-    posts, items, rejected = [], [], []
+def read_pages(valid: DataFrame) -> DataFrame:
+    """The pages of all sites, each walked once by its site's rules; a source without rules is an error of its row."""
+    rows = valid.withColumn("_title", F.col("title"))
+    return pages.walk(rows, None, by="source_name", keep=["source_name", "category", "_title", "summary", "deal"])
+
+
+def parsed(walked: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Posts and items of walked pages."""
+    posts, items = [], []
+    kind = F.coalesce(blank_to_null(F.try_variant_get("deal", "$.deal_type", "string")), blank_to_null(F.col("category")))
     for site, spec in pages.SPECS.items():
-        rows = valid.where(F.col("source_name") == site).withColumn("_title", F.col("title"))
-        walked = pages.walk(rows, spec, keep=["source_name", "category", "_title", "summary", "deal"])
-        rejected.append(walked.where("error is not null").select("source_name", F.col("url").alias("canonical_url"), "error"))
-        read = walked.where("error is null")
-        kind = F.coalesce(blank_to_null(F.try_variant_get("deal", "$.deal_type", "string")), blank_to_null(F.col("category")))
+        read = walked.where((F.col("source_name") == site) & F.col("error").isNull())
         posts.append(pages.posts(read, spec, as_of, category=kind, feed_title=blank_to_null(F.col("_title")), keep=["source_name", "deal"]))
         found = pages.items(read, spec)
         items.append(_item_columns(found.withColumn("canonical_url", F.col("url")).withColumn("position", F.col("position") if "position" in found.columns else F.lit(0))))
-    return tuple(reduce(DataFrame.unionByName, x) for x in (posts, items, rejected))
+    return tuple(reduce(DataFrame.unionByName, x) for x in (posts, items))
 
 
 def chosen_items(offered: DataFrame, page_items: DataFrame) -> DataFrame:
@@ -86,10 +89,10 @@ def ingest(store: Store, threads: DataFrame, deals: DataFrame, number: int, as_o
     """One numbered batch into ``posts``, ``items``, ``fingerprints``, ``owners``, ``seen`` and ``rejected``."""
     keyed = threads.withColumn("canonical_url", F.col("url"))
     new = fresh(keyed, store.rows("posts", number), POST_KEYS, ["url"])
-    valid = with_offers(new, deals)
-    posts, page_items, rejected = parsed(valid, as_of)
+    walked = stash(read_pages(with_offers(new, deals)), "ingest-pages")
+    posts, page_items = parsed(walked, as_of)
     posts = stash(posts, "ingest-posts")
-    items = stash(chosen_items(offered_items(valid), page_items).join(posts.select(*POST_KEYS), POST_KEYS, "left_semi"), "ingest-items")
+    items = stash(chosen_items(offered_items(walked), page_items).join(posts.select(*POST_KEYS), POST_KEYS, "left_semi"), "ingest-items")
     prints = fingerprints(posts, items)
     strict = prints.where("fingerprint_type = 'strict'")
     rows, owners = flagged(posts, strict, store.rows("owners", number), POST_KEYS, POST_KEYS)
@@ -98,8 +101,8 @@ def ingest(store: Store, threads: DataFrame, deals: DataFrame, number: int, as_o
     store.append("fingerprints", prints.withColumn("created_at", as_of), number)
     store.append("owners", owners, number)
     store.append("seen", threads.select("source_name", F.col("url").alias("canonical_url")).distinct().withColumn("seen_at", as_of), number)
-    store.append("rejected", rejected, number)
-    unstash(posts, items)
+    store.append("rejected", walked.where("error is not null").select("source_name", F.col("url").alias("canonical_url"), "error"), number)
+    unstash(walked, posts, items)
 
 
 __all__ = ["chosen_items", "fingerprints", "ingest", "offered_items", "parsed", "thread_id", "with_offers"]

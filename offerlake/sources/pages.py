@@ -65,11 +65,12 @@ def registry(name: str) -> PageSpec | None:
     return SPECS.get(name)
 
 
-def walk(pages: DataFrame, spec: PageSpec, url: str = "url", html: str = "html", *, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``WALKED`` for each page, and those named by ``keep``. A page that can't be read has its ``error`` and nothing else."""
+def walk(pages: DataFrame, spec: PageSpec | None, url: str = "url", html: str = "html", *, by: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``WALKED`` for each page, and those named by ``keep``. A page that can't be read has its ``error`` and nothing else.
+    Without ``spec``, the column ``by`` names the site whose rules hold for a page, so that all sites are read in one pass."""
     names = [x.strip().split()[0] for x in ("url", "page_title", "page_author", "page_date", "content", "links", "spec_rows", "spec_price", "error")]
 
-    def one(u: str, h: str | None) -> tuple:
+    def one(u: str, h: str | None, spec: PageSpec) -> tuple:
         root = tree(h)
         title, author, date, content = (root.first(*s) for s in (spec.title, spec.author, spec.date, spec.content))
         when = (date.attrs.get("datetime") or date.attrs.get("title") or date.text()) if date else None
@@ -81,20 +82,21 @@ def walk(pages: DataFrame, spec: PageSpec, url: str = "url", html: str = "html",
         cost = root.first(spec.spec_price) if spec.spec_price else None
         return (u, title and title.text(), author and author.text(), when, content and content.text(), links, rows, cost and cost.text(), None)
 
-    def guarded(u: str, h: str | None) -> tuple:
+    def guarded(u: str, h: str | None, site: str | None) -> tuple:
         try:
-            return one(u, h)
+            return one(u, h, spec or SPECS[site])
         except Exception as e:  # one bad page must not end the job
             return (u, None, None, None, None, [], [], None, f"{type(e).__name__}: {e}")
 
     def run(frames):
         for frame in frames:
-            out = pd.DataFrame([guarded(u, h) for u, h in zip(frame["url"], frame["html"])], columns=names)
+            sites = frame[by] if by else [None] * len(frame)
+            out = pd.DataFrame([guarded(u, h, site) for u, h, site in zip(frame["url"], frame["html"], sites)], columns=names)
             for c in keep or []:
                 out[c] = frame[c]
             yield out
 
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), *(keep or []))
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), *dict.fromkeys([*(keep or []), *([by] if by else [])]))
     kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep or [])
     return rows.mapInPandas(run, WALKED + kept)
 

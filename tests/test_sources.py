@@ -100,3 +100,17 @@ def test_summary(spark):
     (item,) = pages.summary_items(rows, pages.SPECS["forum_a"]).collect()
     assert (item.price_amount, item.order_url, item.provider_domain) == (4.0, "https://acme.test/order/1", "acme.test")
     assert pages.registry("none") is None
+
+
+def test_a_bad_page_stops_no_other(spark):
+    rows = spark.createDataFrame([("forum_b", "u1", FORUM_B), ("nobody", "u2", FORUM_B), ("forum_c", "u3", FORUM_C)], "site string, url string, html string")
+    got = {r.url: (r.page_title, r.error, r.site) for r in pages.walk(rows, None, by="site", keep=["site"]).collect()}
+    assert got == {"u1": ("Small VPS Sale - 2GB RAM", None, "forum_b"), "u2": (None, "KeyError: 'nobody'", "nobody"), "u3": ("Virtual servers", None, "forum_c")}
+
+
+def test_feed_is_capped(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(feeds.CAPS, "blog", 2)
+    items = "".join(f"<item><title>t{i}</title><link>https://b.test/?p={i}</link></item>" for i in range(5))
+    (tmp_path / "f.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+    got = feeds.threads(feeds.read_feed(spark, str(tmp_path / "f.xml")), "blog", now(), urls.blog_id, cat.BLOG).collect()
+    assert sorted(r.source_thread_id for r in got) == ["0", "1"]
