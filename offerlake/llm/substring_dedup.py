@@ -15,9 +15,9 @@ as a single witness. Witnesses travel packed, by range of hash, to buckets sized
 are sorted again. So a passage that a third of all documents share costs a bucket one witness per batch.
 What comes back is places only; text is shuffled once, by document, for both later steps.
 
-Words are runs of other than ASCII white space, unchanged. Equality is that of 64-bit hashes of word sequences.
-Null texts have no words, texts of fewer than ``window`` words keep all; repeated rows are repeats of each
-other; a text may repeat itself; an empty table gives no rows. Other columns are not read.
+Words are runs of other than ASCII white space, unchanged. Equality of windows is that of 96-bit
+hashes of word sequences. Ids may be of any type. Null texts have no words, texts of fewer
+than ``window`` words keep all; repeated rows are repeats of each other; a text may repeat itself; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, window_hashes, words_of
+from .common import WordHashes, mix64, window_hashes, words_of
 
 WINDOW = 35
 # A perfect difference cover.
@@ -38,8 +38,8 @@ PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 BUCKET_BYTES = 32_000_000
 FLUSH = 1_000_000
-PACKED = "bucket int, hashes binary, known binary, owners binary, places binary, doc_ids array<long>, keys array<long>"
-FOUND = "doc_id long, key long, places array<int>"
+PACKED = "bucket int, hashes binary, more binary, known binary, places binary, starts array<int>, keys array<long>, keys2 array<int>"
+FOUND = "key long, key2 int, places array<int>"
 
 
 def cover_positions(n: int) -> np.ndarray:
@@ -50,23 +50,37 @@ def cover_positions(n: int) -> np.ndarray:
     return at[at < n]
 
 
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, None]:
+    """Places and 64-bit hashes; two anchors of one hash by chance only cost a comparison."""
     width = window - PERIOD + 1
     runs = window_hashes(hashes, width)
     at = cover_positions(len(runs))
-    return at, runs[at]
+    return at, runs[at], None
 
 
-def windows_around(hashes: np.ndarray, marked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that hold a marked anchor."""
+def windows_around(hashes: np.ndarray, marked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that hold a marked anchor: places and 96 bits of hash in two arrays."""
     runs = window_hashes(hashes, window)
     if not len(runs):
-        return np.empty(0, np.int64), runs
+        return np.empty(0, np.int64), runs, np.empty(0, np.uint32)
     edge = np.zeros(len(runs) + 1, np.int64)
     np.add.at(edge, np.clip(marked - (PERIOD - 1), 0, len(runs)), 1)
     np.add.at(edge, np.clip(marked + 1, 0, len(runs)), -1)
     at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    return at, runs[at]
+    with np.errstate(over="ignore"):
+        other = window_hashes(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93)), window)
+    return at, runs[at], (other[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def _groups(h: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, and a flag for each of them that begins a new one."""
+    order = np.argsort(h, kind="stable") if more is None else np.lexsort((more, h))
+    s = h[order]
+    new = np.r_[True, s[1:] != s[:-1]]
+    if more is not None:
+        m = more[order]
+        new[1:] |= m[1:] != m[:-1]
+    return order, new
 
 
 def _by_doc(owners: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -79,95 +93,90 @@ def _by_doc(owners: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.nd
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in PACKED.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
-    cols = list(zip(*rows)) if rows else [()] * 7
+    kinds = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    cols = list(zip(*rows)) if rows else [()] * 8
     return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def _flush(ids: list, keys: list, parts: list, buckets: int) -> pa.RecordBatch:
-    """One batch: what it has twice goes out as found, and one witness of each hash goes to its bucket."""
-    owners = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[0]) for p in parts])
-    places = np.concatenate([p[0] for p in parts]).astype(np.uint32)
+def _flush(keys: list, parts: list, buckets: int) -> pa.RecordBatch:
+    """One batch: what it has twice goes out as found, and one witness of each hash goes to its bucket. Places are counted
+    through all the batch's texts."""
+    starts = np.cumsum([0, *(int(p[0][-1]) + 1 for p in parts)])
+    places = np.concatenate([p[0] + s for p, s in zip(parts, starts)]).astype(np.uint32)
     hashes = np.concatenate([p[1] for p in parts])
-    order = np.argsort(hashes, kind="stable")
-    hashes, owners, places = hashes[order], owners[order], places[order]
-    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    more = None if parts[0][2] is None else np.concatenate([p[2] for p in parts])
+    order, new = _groups(hashes, more)
+    hashes, places, more = hashes[order], places[order], None if more is None else more[order]
     first = np.flatnonzero(new)
     several = np.diff(np.r_[first, len(hashes)]) > 1
     rows = []
 
-    def row(bucket, h, known, own, place):
-        names, inverse = np.unique(own, return_inverse=True)
-        rows.append((bucket, h.tobytes(), known.astype(np.uint8).tobytes(), inverse.astype(np.uint32).tobytes(), place.tobytes(), [ids[i] for i in names], [keys[i] for i in names]))
+    def row(bucket, h, m, known, place):
+        names = np.unique(np.searchsorted(starts, place, "right") - 1)
+        rows.append((bucket, h.tobytes(), b"" if m is None else m.tobytes(), known.astype(np.uint8).tobytes(), place.tobytes(), starts[names].astype(np.int32), [keys[i][0] for i in names], [keys[i][1] for i in names]))
 
     twice = several[np.cumsum(new) - 1]
     if twice.any():  # found here: no hash is needed any more
-        own, place = owners[twice], places[twice]
-        row(int(hashes[0] % np.uint64(buckets)), np.empty(0, np.uint64), np.empty(0, bool), own, place)
-    h, own, place = hashes[first], owners[first], places[first]
+        row(int(hashes[0] % np.uint64(buckets)), np.empty(0, np.uint64), None, np.empty(0, bool), places[twice])
+    h, m, place = hashes[first], None if more is None else more[first], places[first]
     bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
         s = slice(cuts[b], cuts[b + 1])
-        if s.start < s.stop:
-            row(b, h[s], several[s], own[s], place[s])
+        row(b, h[s], None if m is None else m[s], several[s], place[s])
     return _packed(rows)
 
 
 def _hashed(rows: DataFrame, pick: Callable, buckets: int) -> DataFrame:
-    """rows (doc_id, key, text, and places with them) -> packed witnesses. pick: (word hashes, places) -> places, hashes."""
+    """rows (key, key2, text, and places with them) -> packed witnesses. pick: (word hashes, places) -> places, hashes."""
     marked = "places" in rows.columns
 
     def run(batches):
         words_hash = WordHashes()
-        ids, keys, parts, size = [], [], [], 0
+        keys, parts, size = [], [], 0
         for batch in batches:
             marks = batch.column(3) if marked else None
             texts = batch.column(2)
-            for r, (i, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for r, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 words = words_of(texts[r].as_py())
-                at, hashes = pick(words_hash.array(words), marks[r].values.to_numpy().astype(np.int64) if marked else None)
-                if len(at):
-                    ids.append(i)
-                    keys.append(k)
-                    parts.append((at, hashes))
-                    size += len(at)
+                found = pick(words_hash.array(words), marks[r].values.to_numpy().astype(np.int64) if marked else None)
+                if len(found[0]):
+                    keys.append(key)
+                    parts.append(found)
+                    size += len(found[0])
                 if size >= FLUSH:
-                    yield _flush(ids, keys, parts, buckets)
-                    ids, keys, parts, size = [], [], [], 0
+                    yield _flush(keys, parts, buckets)
+                    keys, parts, size = [], [], 0
         if parts:
-            yield _flush(ids, keys, parts, buckets)
+            yield _flush(keys, parts, buckets)
 
     return rows.mapInArrow(run, PACKED)
 
 
-def _repeated(packed: DataFrame) -> DataFrame:
-    """Places whose hash occurs more than once, per document."""
+def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
+    """Places whose hash occurs more than once, per document. There are as many tasks as buckets, so a task's share does not grow."""
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        base, ids, keys, parts, found = 0, [], [], [], []
-        for h, known, own, place, i, k in rows:
-            own = np.frombuffer(own, np.uint32).astype(np.int64) + base
-            place = np.frombuffer(place, np.uint32)
-            (parts if len(h) else found).append((np.frombuffer(h, np.uint64), np.frombuffer(known, np.uint8), own, place))
-            ids += i
-            keys += k
-            base += len(i)
-        owners, places = [f[2] for f in found], [f[3] for f in found]
+        base, keys, parts, found = 0, [], [], []
+        for h, more, known, place, starts, k, k2 in rows:
+            place = np.frombuffer(place, np.uint32).astype(np.int64)
+            own = np.searchsorted(starts, place, "right") - 1
+            place = place - np.array(starts, np.int64)[own]
+            (parts if len(h) else found).append((np.frombuffer(h, np.uint64), np.frombuffer(more, np.uint32), np.frombuffer(known, np.uint8), own + base, place))
+            keys += zip(k, k2)
+            base += len(k)
+        owners, places = [f[3] for f in found], [f[4] for f in found]
         if parts:
-            h, known, own, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            new = np.r_[True, s[1:] != s[:-1]]
-            first = np.flatnonzero(new)
-            more = (np.diff(np.r_[first, len(s)]) > 1)[np.cumsum(new) - 1]
-            told = order[more]
+            h, more, known, own, place = (np.concatenate(x) for x in zip(*parts))
+            order, new = _groups(h, more if len(more) else None)
+            again = (np.diff(np.r_[np.flatnonzero(new), len(h)]) > 1)[np.cumsum(new) - 1]
+            told = order[again]
             told = told[known[told] == 0]  # the others were found where they came from
             owners.append(own[told])
             places.append(place[told])
         if owners:
-            cols = list(zip(*((ids[o], keys[o], p.astype(np.int32)) for o, p in _by_doc(np.concatenate(owners), np.concatenate(places))))) or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["doc_id", "key", "places"])
+            cols = list(zip(*((*keys[o], p.astype(np.int32)) for o, p in _by_doc(np.concatenate(owners), np.concatenate(places))))) or [(), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32()))], names=["key", "key2", "places"])
 
     def run(batches):
         at, rows = None, []
@@ -179,22 +188,24 @@ def _repeated(packed: DataFrame) -> DataFrame:
                 rows.append(row)
         yield from one(rows)
 
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
-    return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+    return found.groupBy("key", "key2").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_words, n_removed, text (kept words, joined by one space), removed (ranges of words)."""
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words or more")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("key"), F.hash(F.lit(1), F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("key2"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(total / bucket_bytes))
 
-    marked = _repeated(_hashed(rows, lambda h, _: anchors(h, window), buckets))
-    near = rows.join(marked.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    repeated = _repeated(_hashed(near.select("doc_id", "key", "text", "places"), lambda h, m: windows_around(h, m, window), buckets))
-    both = rows.join(repeated.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    marked = _repeated(_hashed(rows.select("key", "key2", "text"), lambda h, _: anchors(h, window), buckets), buckets)
+    # rows that repeat id and text have one name, and each of them is a witness
+    # (doc_id is not needed here, but with it both joins read one and the same shuffle of the rows)
+    near = rows.join(marked, ["key", "key2"]).select("key", "key2", "text", "places", "doc_id")
+    repeated = _repeated(_hashed(near, lambda h, m: windows_around(h, m, window), buckets), buckets)
+    both = rows.join(repeated, ["key", "key2"], "left")
 
     def cut(batches):
         for batch in batches:
@@ -220,5 +231,5 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, bucket_bytes: int =
             spans = [pa.array(x, pa.list_(pa.int32())) for x in (begins, ends)]
             yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *spans], names=["doc_id", "n_words", "n_removed", "text", "begins", "ends"])
 
-    out = both.select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string, begins array<int>, ends array<int>")
+    out = both.select("doc_id", "text", "places").mapInArrow(cut, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, text string, begins array<int>, ends array<int>")
     return out.select("doc_id", "n_words", "n_removed", "text", F.arrays_zip("begins", "ends").alias("removed"))
