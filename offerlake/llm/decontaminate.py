@@ -1,31 +1,38 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
 Words are ``[0-9a-z]`` and non-ASCII characters in runs, A-Z lower-cased. The automaton's patterns are the windows
-of ``width`` consecutive words of every item (an item of fewer words, but not none, is one pattern), each closed by
-spaces on both sides, so that only whole words match. A text is normalised byte for byte, so places in it
-stay places in the original; it is then scanned once, and hits are mapped back to words and to character offsets.
-
-Items are read in blocks of at most ``block_bytes`` of text: each block is one automaton, sent to the tasks with the
-code that scans. There is one block unless the items outgrow the bound; then texts are scanned once a block and
-hits are merged per document, so what is sent at once has a fixed bound.
-
-Null and empty texts have no words and no hits; null or wordless items match nothing; repeated item ids count once
-per document; repeated document ids stay separate rows; empty tables give no rows, or no hits. Other columns are not read.
+of ``width`` consecutive words of every item (an item of fewer words, but not none, is one pattern). Its letters are word
+numbers: each word of an item has one, all other words share one that no pattern has. So a window is ``width`` nodes at
+most. A text becomes such a string and is scanned once; a hit ends at a word, and words keep their place in the original.
+
+Items reach the driver as a stream and fill blocks of at most ``block_words`` windows (a long item is cut into overlapping
+parts): each block is one automaton, sent to the tasks with the code that scans and kept by their Python workers. A full block of
+150,000 windows of 13 words, all different, has 1.94 million nodes and takes a worker 190 MB (measured). There is one block unless
+the items outgrow that; then texts are scanned once a block, one block after the other, and hits are merged by row.
+Results don't depend on the number of blocks.
+
+Null and empty texts have no words and no hits; null or wordless items match nothing, as do items without an id; repeated
+item ids count once per document; repeated or null document ids stay separate rows, each judged by its own text; empty tables
+give no rows, or no hits. Ids may be of any type. Other columns are kept by ``decontaminate`` and not read by ``contamination``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stash, utf8
 
 WIDTH = 13
-BLOCK_BYTES = 16_000_000
+BLOCK_WORDS = 150_000
 
 #: Every byte that ends a word, as a space; A-Z as a-z; all others as they are.
 _NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -36,37 +43,33 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Scanner:
-    """The automaton of a block of items. It is built where it is used."""
+    """The automaton of a block of items, each an id and words. It is built where it is used."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = WIDTH) -> None:
+    def __init__(self, items: list[tuple], width: int = WIDTH) -> None:
         import ahocorasick
 
-        self.width = width
-        windows: dict[bytes, set[int]] = {}
-        for item, text in items:
-            words = normal_words(text)
+        windows: dict[tuple, set] = {}
+        for item, words in items:
             for i in range(max(1, len(words) - width + 1) if words else 0):
-                windows.setdefault(b" ".join(words[i : i + width]), set()).add(item)
+                windows.setdefault(tuple(words[i : i + width]), set()).add(item)
+        # one character for each word; "\0" is every word that no item has
+        names = sorted({w for words in windows for w in words})
+        self.letters = {w: chr(k + 1) for k, w in enumerate(names)}
         self.automaton = ahocorasick.Automaton()
-        for w, ids in windows.items():
-            self.automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
+        for words, ids in windows.items():
+            self.automaton.add_word("".join(map(self.letters.__getitem__, words)), (len(words), tuple(ids)))
         self.empty = not windows
         if windows:
             self.automaton.make_automaton()
 
-    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set]:
         """Words, a flag for each (hit or not), and the items that occur."""
         words = normal_words(text)
         hit, found = np.zeros(len(words), bool), set()
         if not words or self.empty:
             return len(words), hit, found
-        line = b" " + b" ".join(words) + b" "
-        ends = None
-        for at, (n, ids) in self.automaton.iter(line.decode("latin-1")):
-            if ends is None:
-                ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # word i lies between spaces i and i + 1
-            last = int(np.searchsorted(ends, at))
-            hit[last - n : last] = True
+        for at, (n, ids) in self.automaton.iter("".join(map(self.letters.get, words, itertools.repeat("\0")))):
+            hit[at + 1 - n : at + 1] = True
             found.update(ids)
         return len(words), hit, found
 
@@ -81,85 +84,153 @@ def word_spans(text: str) -> np.ndarray:
     return np.stack([chars[np.flatnonzero(edge == 1)], chars[np.flatnonzero(edge == -1)]], 1)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple]]:
-    """Items in blocks of bounded size, read block by block."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, r.t) for r in rows.where(part == b).collect()] for b in range(n)] if n > 1 else [[(r.i, r.t) for r in rows.collect()]]
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, width: int) -> Iterator[list[tuple]]:
+    """Items (id, words) in blocks of at most ``block_words`` windows, made one at a time; an empty table gives one empty block."""
+    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    block, size, none = [], 0, True
+    for r in rows.toLocalIterator():
+        words = normal_words(r.t)
+        for at in range(0, max(1, len(words) - width + 1) if words else 0, max(1, block_words)):
+            part = words[at : at + block_words + width - 1]
+            n = max(1, len(part) - width + 1)
+            if block and size + n > block_words:
+                yield block
+                block, size, none = [], 0, False
+            block.append((r.i, part))
+            size += n
+    if block or none:
+        yield block
+
+
+#: The automaton that a Python worker used last, by the name of its block.
+_LAST: dict[str, Scanner] = {}
+
+
+def _scanning(items: list[tuple], width: int, do: Callable) -> Callable:
+    """A function of batches; a worker builds the automaton once for all its tasks."""
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        if name not in _LAST:
+            _LAST.clear()
+            _LAST[name] = Scanner(items, width)
+        scanner = _LAST[name]
+        for batch in batches:
+            yield do(scanner, batch)
+
+    return run
+
+
+def _hits(rows: DataFrame, blocks: Iterator[list[tuple]], width: int, item_type, first: list[tuple]) -> DataFrame:
+    """row, n_words, words (numbers of hit ones), items, of ``rows`` (row, text); rows without a hit may be absent from
+    all but the first block. ``first``: the block that was read already."""
+    kind = to_arrow_type(item_type)
+    schema = f"row long, n_words long, words array<int>, items array<{item_type.simpleString()}>"
+
+    def scan(whole: bool) -> Callable:
+        def do(scanner: Scanner, batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, ns, words, found = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                n, hit, items = scanner.scan(text)
+                if whole or items:
+                    at.append(k)
+                    ns.append(n)
+                    words.append(np.flatnonzero(hit))
+                    found.append(sorted(items, key=str))
+            return pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ns, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(found, pa.list_(kind))], names=["row", "n_words", "words", "items"])
+
+        return do
+
+    out = rows.mapInArrow(_scanning(first, width, scan(True)), schema)
+    more = [stash(rows.mapInArrow(_scanning(items, width, scan(False)), schema), "decontaminate-hits") for items in blocks]
+    if not more:
+        return out
+    for m in more:
+        out = out.unionByName(m)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    out = out.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(flat("words")).alias("words"), flat("items").alias("items"))
+    by_text = F.array_sort(F.transform("items", lambda x: F.struct(x.cast("string").alias("s"), x.alias("x"))))
+    return out.withColumn("items", F.transform(by_text, lambda x: x["x"]))
+
+
+def _numbered(docs: DataFrame, several: bool) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written down where it is used more than once."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    return (stash(rows, "decontaminate-rows") if several else rows), name
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: its columns' id, n_words, n_hit, n_items, items (sorted ids), spans (character ranges
-    of hit words, joined where words are neighbours) and contaminated (at least ``share`` of its words are hit)."""
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+def _contaminated(n_words: Column, n_hit: Column, share: tuple[int, int]) -> Column:
+    return (n_hit > 0) & (share[1] * n_hit >= share[0] * n_words)
+
+
+def _first_of(blocks: Iterator[list[tuple]]) -> tuple[list[tuple], Iterator[list[tuple]], bool]:
+    """The first block, all the others, and whether there are others."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, itertools.chain([second], blocks) if second is not None else iter(()), second is not None
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share: tuple[int, int] = (1, 20), block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row per row of ``docs``: its id as doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), spans (character ranges
+    of hit words) and contaminated (at least ``share`` of its words are hit)."""
+    first, others, several = _first_of(item_blocks(benchmark, item_col, item_text_col, block_words, width))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if len(blocks) > 1:
-        rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-    else:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n_words long, words array<int>, begins array<int>, ends array<int>, items array<long>"
+    item_type = benchmark.schema[item_col].dataType
+    kinds = f"n_words long, words array<int>, items array<{item_type.simpleString()}>, begins array<int>, ends array<int>"
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def placed(words: list, texts: list) -> list[pa.Array]:
+        spans = [word_spans(t)[w] if len(w) else np.empty((0, 2), int) for t, w in zip(texts, words)]
+        return [pa.array([x[:, k] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
 
-    def scanner(items):
-        kept: list[Scanner] = []
+    if several:
+        rows, _ = _numbered(rows, True)
+        hits = _hits(rows.select("row", "text"), others, width, item_type, first)
 
-        def scan(batches):
-            if not kept:
-                kept.append(Scanner(items, width))
+        def place(batches):
             for batch in batches:
-                ns, words, begins, ends, found = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    n, hit, items_ = kept[0].scan(text)
-                    ns.append(n)
-                    found.append(sorted(items_, key=str))
-                    at = np.flatnonzero(hit)
-                    words.append(at)
-                    spans = word_spans(text)[at] if len(at) else np.empty((0, 2), int)
-                    begins.append(spans[:, 0])
-                    ends.append(spans[:, 1])
-                yield pa.record_batch([batch.column(2), batch.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (words, begins, ends)), pa.array(found, pa.list_(pa.int64()))], names=["row", "doc_id", "n_words", "words", "begins", "ends", "items"])
-
-        return scan
-
-    done = [rows.select("doc_id", "text", "row").mapInArrow(scanner(items), schema) for items in blocks]
-    out = done[0]
-    if len(done) > 1:
-        for d in done[1:]:
-            out = out.unionByName(d)
-        flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-        out = out.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), *(F.array_sort(flat(c)).alias(c) for c in ("words", "begins", "ends")), flat("items").alias("items"))
-        out = out.withColumn("items", F.transform(F.array_sort(F.transform("items", lambda x: x.cast("string"))), lambda x: x.cast("long")))
-    low, high = share
+                words = [np.array(w or [], int) for w in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in (2, 3, 4)), *placed(words, batch.column(1).to_pylist())], names=["doc_id", "n_words", "words", "items", "begins", "ends"])
+
+        out = rows.join(hits, "row").select("doc_id", "text", "n_words", "words", "items").mapInArrow(place, f"doc_id {id_type}, {kinds}")
+    else:
+        kind = to_arrow_type(item_type)
+
+        def do(scanner: Scanner, batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            found = [scanner.scan(t) for t in texts]
+            words = [np.flatnonzero(hit) for _, hit, _ in found]
+            cols = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array([sorted(i, key=str) for _, _, i in found], pa.list_(kind))]
+            return pa.RecordBatch.from_arrays([batch.column(0), *cols, *placed(words, texts)], names=["doc_id", "n_words", "words", "items", "begins", "ends"])
+
+        out = rows.mapInArrow(_scanning(first, width, do), f"doc_id {id_type}, {kinds}")
     n_hit = F.size("words").cast("long")
-    out = out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "contaminated": (n_hit > 0) & (high * n_hit >= low * F.col("n_words"))})
-    spans = F.arrays_zip("begins", "ends")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items", spans.alias("spans"), "contaminated")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    text, id_col = how.get("text_col", "text"), how.get("id_col", "doc_id")
-    blocks = item_blocks(benchmark, how.get("item_col", "item_id"), how.get("item_text_col", "text"), how.get("block_bytes", BLOCK_BYTES))
-    width, (low, high) = how.get("width", WIDTH), how.get("share", (1, 20))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti")
-    kept: list[Scanner] = []
-
-    def keep(batches):
-        if not kept:
-            kept.append(Scanner(blocks[0], width))
-        for batch in batches:
-            flags = []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                n, hit, _ = kept[0].scan(t)
-                hits = int(hit.sum())
-                flags.append(not (hits and high * hits >= low * n))
-            yield batch.filter(pa.array(flags, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    out = out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "contaminated": _contaminated(F.col("n_words"), n_hit, share)})
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items", F.arrays_zip("begins", "ends").alias("spans"), "contaminated")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share: tuple[int, int] = (1, 20), block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    first, others, several = _first_of(item_blocks(benchmark, item_col, item_text_col, block_words, width))
+    if several:
+        rows, row = _numbered(docs, True)
+        hits = _hits(rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")), others, width, benchmark.schema[item_col].dataType, first)
+        bad = hits.where(_contaminated(F.col("n_words"), F.size("words").cast("long"), share)).select(F.col("row").alias(row))
+        return rows.join(bad, row, "left_anti").drop(row)
+    at, (low, high) = docs.columns.index(text_col), share
+
+    def keep(scanner: Scanner, batch: pa.RecordBatch) -> pa.RecordBatch:
+        flags = []
+        for text in batch.column(at).to_pylist():
+            n, hit, _ = scanner.scan(text)
+            hits = int(hit.sum())
+            flags.append(not (hits and high * hits >= low * n))
+        return batch.filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(_scanning(first, width, keep), docs.schema)
 
 
 def items_sha256(items: list[int]) -> str:

@@ -39,6 +39,35 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("clash") for c in clash}).repartition(3)
 
 
+def test_ids_of_other_types(spark):
+    rows = [("b", PASSAGE), ("a", PASSAGE), (None, "x"), ("c", None), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("source", F.lit("s"))
+    near = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near == {("b", "a", False), ("a", "a", True), (None, None, True), ("c", "c", True)}
+    assert sorted((r.doc_id or "", r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()) == [("", 0), ("", 0), ("a", 60), ("b", 60), ("c", 0)]
+    assert line_dedup.remove_boilerplate(docs).count() == 5
+
+
+def test_hot_keys_are_dealt(spark):
+    from offerlake.operators.joins import spread_join
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, 1)], "k int, x int")
+    facts = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("x").alias("top"))
+    got = spread_join(rows, facts, ["k"], "size", ["x"], parts=20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "x", "size", "top").collect()))
+    dealt = got.withColumn("t", F.spark_partition_id()).where("k = 1").groupBy("t").count().collect()
+    assert len(dealt) > 1
+
+
+def test_components_of_a_large_graph(spark, monkeypatch):
+    from offerlake.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", 10)
+    links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 460)]
+    want = brute.components({x for e in links for x in e}, links)
+    assert {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == want
+
+
 def test_components(spark):
     for links in ([(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [], [(1, 1), (None, 2)]):
         edges = spark.createDataFrame(links, "u long, v long")
@@ -97,19 +126,45 @@ def contaminated(docs, items, **how):
     return sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, digest(r["items"]), r.contaminated) for r in got), got
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 100])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
 def test_contamination(spark, docs, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got, rows = contaminated(docs, items, block_bytes=block)
+    got, rows = contaminated(docs, items, block_words=block)
     assert got == sorted(brute.contaminated([(i, t) for i, t, _ in ROWS], ITEMS))
     text = dict((i, t) for i, t, _ in ROWS)
     hit = next(r for r in rows if r.n_items and r.doc_id < 40)
     first = text[hit.doc_id][hit.spans[0].begins : hit.spans[0].ends]
     assert brute.NORMAL.fullmatch(first.translate(brute.LOWER))
-    kept = {r.doc_id for r in decontaminate.decontaminate(docs, items, block_bytes=block).collect()}
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, items, block_words=block).collect()}
     assert kept == {r[0] for r in got if not r[5]}
 
 
+def test_contamination_goes_by_row(spark):
+    """Whatever the number of blocks: rows of one id, or of none, are judged by their own texts; ids are of any type."""
+    item = prose(60)
+    rows = [("1", prose(50)), ("1", item), (None, item), (None, "clean"), ("2", item[:200]), ("2", None), ("1", item)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("row", "ROW_", "_row", "words", "items")})
+    items = spark.createDataFrame([("b", item), ("b", item), ("a", " ".join(item.split(" ")[20:33])), (None, "clean"), ("c", "")], "item_id string, text string")
+    seen = []
+    for block in (1000, 13, 5, 1):
+        left = decontaminate.decontaminate(docs, items, block_words=block)
+        assert left.columns == docs.columns
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(docs, items, block_words=block).collect()), key=str)
+        seen.append((sorted(((r.doc_id, r.text) for r in left.collect()), key=str), got))
+    assert all(s == seen[0] for s in seen)
+    assert seen[0][0] == sorted([rows[0], rows[3], rows[5]], key=str)
+    assert [g[3] for g in seen[0][1] if g[2] == 60] == [["a", "b"]] * 3
+
+
+def test_blocks_are_bounded(spark):
+    items = spark.createDataFrame([(i, prose(n)) for i, n in enumerate((5, 13, 40, 0, 300, 12))], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, "item_id", "text", 50, 13))
+    windows = lambda b: [tuple(w[k : k + 13]) for _, w in b for k in range(max(1, len(w) - 12))]
+    assert len(blocks) > 5 and all(len(windows(b)) <= 50 for b in blocks)
+    whole = list(decontaminate.item_blocks(items, "item_id", "text", 10**6, 13))
+    assert len(whole) == 1 and sorted(windows(whole[0])) == sorted(sum(map(windows, blocks), []))
+
+
 def test_contamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     got, _ = contaminated(docs, none)
@@ -123,7 +178,7 @@ PAGES = [(i, "\n".join([prose(5), SHARED[i % 2], prose(4), SHARED[2] if i % 3 ==
 
 @pytest.mark.parametrize("sites", [3, 8, 9, 20])
 def test_lines(spark, sites):
-    rows = spark.createDataFrame(PAGES, SCHEMA).withColumns({c: F.lit(1) for c in ("n_lines", "key", "pos", "line", "h1", "first")})
+    rows = spark.createDataFrame(PAGES, SCHEMA).withColumns({c: F.lit(1) for c in ("n_lines", "key", "pos", "line", "h1", "first", "_cut", "_key", "_id", "cut", "id", "own", "own_key", "doc", "_salt")})
     got = line_dedup.remove_boilerplate(rows, sites=sites).collect()
     assert {r.doc_id: r.text for r in got} == brute.lines(PAGES, sites)
     assert all(r.n_removed == (0 if r.text is None else dict((i, t) for i, t, _ in PAGES)[r.doc_id].count("\n") - r.text.count("\n")) or r.text == "" for r in got)
