@@ -118,8 +118,8 @@ def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
     allowed = qc.id_remainder("doc_id", 3) != 1
     model = toxicity.fit(docs, labels, allowed)
-    assert model.odds and all(v > 0 for v in model.odds.values())
-    worst = sorted(model.odds, key=model.odds.get)[-3:]
+    assert model.odds and all(v is None or v > 0 for o in model.odds.values() for v in o)
+    worst = sorted((w for w, o in model.odds.items() if o[0] and b"*" not in w), key=lambda w: model.odds[w][0])[-3:]
     shout = "you {}, {} {} you".format(*(w.decode().upper() for w in worst))
     odd = spark.createDataFrame([(1, None), (2, ""), (2, "!"), (None, "so what"), (3, "a " * 60_000), (4, shout)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "passages", "label", "word")})
     got = sorted(((r.doc_id or 0, r.score, [tuple(p)[:2] for p in r.passages]) for r in toxicity.score(odd, model).collect()))
@@ -134,6 +134,81 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_is_fitted_as_defined(spark):
+    """Odds, lambda and K against plain sums over the distinct labelled texts."""
+    g = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(g.choice(words) for _ in range(g.randrange(5, 40))) + (" bad!" * g.randrange(1, 3) + " Awful" * g.randrange(2) if i % 4 == 0 else "") + (" awful" if i == 7 else "")) for i in range(120)]
+    rows += [(500, rows[0][1]), (501, rows[1][1])]  # equal texts of one label count once
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    least_of = {}
+    for t, y in {(t, y) for (_, t), (_, y) in zip(rows, labels)}:
+        key = (y, toxicity.near_name(t))
+        least_of[key] = min(t, least_of.get(key, t))
+    found = [(t, y) for (y, _), t in least_of.items()]
+    n = [sum(y == k for _, y in found) for k in (0, 1)]
+    held = [collections.Counter(), collections.Counter()]
+    for t, y in found:
+        seen = collections.Counter(x for w in brute.NORMAL.findall(t.translate(brute.LOWER)) for x in [w, *(w[:k] + "*" for k in range(3, 9) if k <= len(w))])
+        held[y].update((x, k) for x, m in seen.items() for k in (1, 2, 3) if k <= m)
+    prior, want = toxicity.PRIOR * sum(n), {}
+    for x, k in held[1]:
+        a = prior * (held[0][x, k] + held[1][x, k]) / sum(n)
+        odds = [np.log((held[y][x, k] + a) / (n[y] + prior - held[y][x, k] - a)) for y in (0, 1)]
+        z = (odds[1] - odds[0]) / np.sqrt(sum(1 / (held[y][x, k] + a) for y in (0, 1)))
+        if z >= toxicity.LEAST_Z and odds[1] - odds[0] >= toxicity.LEAST_ODDS:
+            want[x.encode(), k] = odds[1] - odds[0]
+    got = {(t, k + 1): v for t, o in model.odds.items() for k, v in enumerate(o) if v is not None}
+    assert (b"bad", 1) in want and got == {x: pytest.approx(v) for x, v in want.items()}
+
+    def scores(text):
+        seen, out = collections.Counter(), []
+        for w in brute.NORMAL.findall(text.translate(brute.LOWER)):
+            mine = [w, *(w[:k] + "*" for k in range(3, 9) if k <= len(w))]
+            seen.update(mine)
+            out.append(max((want[x.encode(), min(seen[x], 3)] for x in mine if (x.encode(), min(seen[x], 3)) in want), default=model.drift))
+        return out
+
+    clean = [t for t, y in found if not y]
+    back = np.concatenate([scores(t) for t in clean])
+    assert np.exp(model.rate * back).mean() == pytest.approx(1)
+    best = np.array([max((f[2] for f in model.found(t)[1]), default=0) for t in clean])
+    least = np.quantile(best[best > 0], 0.5)
+    assert model.scale == pytest.approx(((best >= least).sum() + 0.5) / len(back) * np.exp(model.rate * least))
+
+
+def test_every_split_is_the_best_one():
+    """Each node's split against a search of all cuts of all features, with sums over the rows themselves."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, 4)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + g.normal(size=300) * 0.3 > 0).astype(float)
+    m = qc.boost(x, y, trees=4, depth=3, least=5)
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    assert m.base == pytest.approx(margin[0])
+    for feature, cut, value in zip(m.feature, m.cut, m.value):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+        node = np.zeros(len(y), int)
+        part = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + qc.L2)
+
+        def gain(rows, f, c):
+            left, right = rows & (x[:, f] <= c), rows & (x[:, f] > c)
+            return part(left) + part(right) - part(rows) if left.sum() >= 5 and right.sum() >= 5 else -np.inf
+
+        for k in range(len(feature)):
+            rows = node == k
+            every = [gain(rows, f, c) for f in range(4) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, qc.BINS + 1)[1:-1]))]
+            best = max(every, default=-np.inf)
+            own = gain(rows, feature[k], cut[k])
+            assert own == pytest.approx(best) if best > 1e-9 else np.isinf(cut[k])
+            node[rows] = 2 * k + 1 + (x[rows, feature[k]] > cut[k])
+        leaf = node - len(feature)
+        want = [-qc.RATE * grad[leaf == j].sum() / (hess[leaf == j].sum() + qc.L2) for j in range(len(value))]
+        assert value == pytest.approx(want)
+        margin += value[leaf]
+
+
 def test_trees_walk_as_one_by_one():
     g = np.random.default_rng(0)
     x = g.normal(size=(500, 5))
@@ -174,9 +249,9 @@ def test_sample_is_bounded_and_stable(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 150")
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 150").withColumns({c: F.lit(None).cast("long") for c in ("score", "_score", "_own_score", "row", "_gone", "cut", "_cut", "key", "_key", "_id", "doc", "own")})
     odd = [(9001, None, None, None, None), (9002, "", "en", "src1", 0), (None, "no id here at all", "en", None, 5)]
-    now = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    now = docs.unionByName(spark.createDataFrame([r + (None,) * (len(docs.columns) - 5) for r in odd], docs.schema))
     seen = {}
     for k, (name, stage) in enumerate(p.STAGES):
         stage(spark, now, D).write.parquet(str(tmp_path / str(k)))
@@ -184,6 +259,25 @@ def test_pipeline(spark, tmp_path):
         seen[name] = (was, now)
     for name in list(seen)[:-1]:
         assert seen[name][1].columns == docs.columns
+    was, left = seen["quality_classifier"]
+    model = qc.fit(was, spark.read.parquet(f"{D}/labels.parquet"), qc.id_remainder("doc_id", 5) != 0)
+
+    def quality(text):
+        x, total = qc.statistics(text), model.base
+        for f, c, v in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(x[f[node]] > c[node])
+            total += v[node - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert key(left.collect()) == key(r for r in was.collect() if quality(r.text) >= p.LEAST_SCORE)
+    was, left = seen["line_dedup"]
+    rows = [(r.doc_id, r.text, r.source) for r in was.collect() if r.doc_id is not None]
+    cut = brute.lines(rows, 10)
+    stay = {i: t for i, t in cut.items() if t == dict((a, b) for a, b, _ in rows)[i] or re.search(r"\S", t or "")}
+    assert {r.doc_id: r.text for r in left.where("doc_id is not null").collect()} == stay
     was, left = seen["near_dedup"]
     comp = brute.near([(r.doc_id, r.text) for r in was.where("doc_id is not null").collect()])
     assert {r.doc_id for r in left.where("doc_id is not null").collect()} == {i for i, (_, c) in comp.items() if c == i}
