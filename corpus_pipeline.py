@@ -27,8 +27,10 @@ LEAST_SCORE = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
-    scored = score(docs.withColumnRenamed("score", "_own_score"), model).where(F.col("score") >= LEAST_SCORE)
-    return scored.drop("score").withColumnRenamed("_own_score", "score").select(*docs.columns)
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return score(docs, model, out_col=name).where(F.col(name) >= LEAST_SCORE).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
