@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Symbols in the order they are looked for, and the known codes.
+# Symbols in the order they are looked for, the known codes, and the words of each billing period.
 SYMBOLS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR")]
 CODES = "USD|EUR|GBP|CAD|AUD|JPY|INR|CNY|SGD"
 MONTH = r"/mo\b|/month\b|monthly|per month"

@@ -9,11 +9,13 @@ from .text import blank_to_null, clean_text
 
 # Regions that count as a location by themselves.
 REGIONS = "US|USA|EU|Europe|Asia|Germany|Netherlands|France|UK|Singapore|Japan"
+# Fixed value: how a text labels its location.
+LABELLED = r"(?i)(?:location|datacenter|dc)[\s:]+([A-Za-z\s,]+?)(?:\n|$|\.)"
 
 
 def location(c: Column) -> Column:
     """What follows a location label up to a line's end or a period, else a region's name."""
-    labelled = F.regexp_extract(c, r"(?i)(?:location|datacenter|dc)[\s:]+([A-Za-z\s,]+?)(?:\n|$|\.)", 1)
+    labelled = F.regexp_extract(c, LABELLED, 1)
     region = F.regexp_extract(c, rf"(?i)(?:{REGIONS})\b", 0)
     return blank_to_null(clean_text(F.coalesce(blank_to_null(labelled), blank_to_null(region))))
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import hits_with_context, let
 
-# The words that tell the kinds of size apart.
+# The words that tell the kinds of size apart, and how a size is written before or after such a word.
 STORAGE = "(?:ssd|hdd|nvme|disk|storage|space)"
 TRAFFIC = "(?:bandwidth|bw|transfer|traffic|data)"
 MEMORY = "(?:ram|memory)"
 SIZE = r"(?iU)\d+(?:\.\d+)?\s*(?:TB|GB)\b"
+AMOUNT = r"(\d+(?:\.\d+)?)\s*(TB|GB)"
+BEFORE, AFTER = "(?iU)" + AMOUNT + r"\s*{word}\b", r"(?iU){word}\s*[:\-]?\s*" + AMOUNT + r"\b"
 WINDOW = 30
 
 
@@ -29,7 +31,7 @@ def ram_mb(c: Column) -> Column:
 def _sized(c: Column, own: str, other: str) -> Column:
     """A size before or after a word of its own kind, else the first whose surroundings name neither the other kind nor memory."""
     out = F.when(F.nullif(c, F.lit("")).isNull(), None)
-    for pattern in (rf"(?iU)(\d+(?:\.\d+)?)\s*(TB|GB)\s*{own}\b", rf"(?iU){own}\s*[:\-]?\s*(\d+(?:\.\d+)?)\s*(TB|GB)\b"):
+    for pattern in (BEFORE.replace("{word}", own), AFTER.replace("{word}", own)):
         number = F.regexp_extract(c, pattern, 1)
         out = out.when(number != "", _gb(number, F.regexp_extract(c, pattern, 2)))
     free = F.filter(hits_with_context(c, SIZE, WINDOW), lambda x: ~x["context"].rlike(f"(?i){other}|{MEMORY}"))
