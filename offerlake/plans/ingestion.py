@@ -59,10 +59,12 @@ def read_pages(valid: DataFrame) -> DataFrame:
 
 
 def parsed(walked: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Posts and items of walked pages."""
+    """Posts and items of walked pages (a written table), by the rules of those sites that it has."""
+    here = {r.source_name for r in walked.where(F.col("source_name").isin(list(pages.SPECS))).select("source_name").distinct().collect()} or {next(iter(pages.SPECS))}
     posts, items = [], []
     kind = F.coalesce(blank_to_null(F.try_variant_get("deal", "$.deal_type", "string")), blank_to_null(F.col("category")))
-    for site, spec in pages.SPECS.items():
+    for site in sorted(here):
+        spec = pages.SPECS[site]
         read = walked.where((F.col("source_name") == site) & F.col("error").isNull())
         posts.append(pages.posts(read, spec, as_of, category=kind, feed_title=blank_to_null(F.col("_title")), keep=["source_name", "deal"]))
         found = pages.items(read, spec)
