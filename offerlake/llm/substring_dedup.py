@@ -13,7 +13,8 @@ are hashed at first.
 Counting is done in two steps. A batch sorts its hashes; one that it has twice is known to be repeated and leaves
 as a single witness. Witnesses travel packed, by range of hash, to buckets sized from the text's bytes, where they
 are sorted again. So a passage that a third of all documents share costs a bucket one witness per batch.
-What comes back is places only; text is shuffled once, by document, for both later steps.
+What comes back is places only; text is shuffled once, by document, for both later steps. Rows that repeat both id and text have one name:
+a batch hashes the first of them, knows all its windows to be repeated, and a bucket tells each place of a name once.
 
 Words are runs of other than ASCII white space, unchanged. Equality of windows is that of 96-bit
 hashes of word sequences. Ids may be of any type. Null texts have no words, texts of fewer
@@ -37,7 +38,9 @@ WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 BUCKET_BYTES = 32_000_000
-FLUSH = 1_000_000
+#: Hashes, and words of their texts, that a batch holds at most (and one text at least); places are 32-bit numbers through all of them.
+FLUSH = 500_000
+FLUSH_WORDS = 1 << 30
 PACKED = "bucket int, hashes binary, more binary, known binary, places binary, starts array<int>, keys array<long>, keys2 array<int>"
 FOUND = "key long, key2 int, places array<int>"
 
@@ -98,17 +101,18 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def _flush(keys: list, parts: list, buckets: int) -> pa.RecordBatch:
-    """One batch: what it has twice goes out as found, and one witness of each hash goes to its bucket. Places are counted
-    through all the batch's texts."""
+def _flush(keys: list, parts: list, several_rows: list[bool], buckets: int) -> pa.RecordBatch:
+    """One batch: what it has twice, or what is in a text that it has several rows of, goes out as found, and one witness of each hash
+    goes to its bucket. Places are counted through all the batch's texts. What is found of a text always goes to one bucket."""
     starts = np.cumsum([0, *(int(p[0][-1]) + 1 for p in parts)])
     places = np.concatenate([p[0] + s for p, s in zip(parts, starts)]).astype(np.uint32)
     hashes = np.concatenate([p[1] for p in parts])
     more = None if parts[0][2] is None else np.concatenate([p[2] for p in parts])
+    copied = np.repeat(several_rows, [len(p[0]) for p in parts])
     order, new = _groups(hashes, more)
     hashes, places, more = hashes[order], places[order], None if more is None else more[order]
     first = np.flatnonzero(new)
-    several = np.diff(np.r_[first, len(hashes)]) > 1
+    several = (np.diff(np.r_[first, len(hashes)]) > 1) | np.logical_or.reduceat(copied[order], first)
     rows = []
 
     def row(bucket, h, m, known, place):
@@ -117,7 +121,10 @@ def _flush(keys: list, parts: list, buckets: int) -> pa.RecordBatch:
 
     twice = several[np.cumsum(new) - 1]
     if twice.any():  # found here: no hash is needed any more
-        row(int(hashes[0] % np.uint64(buckets)), np.empty(0, np.uint64), None, np.empty(0, bool), places[twice])
+        told = np.sort(places[twice])
+        homes = np.array([key[0] % buckets for key in keys])[np.searchsorted(starts, told, "right") - 1]
+        for home, place in _by_doc(homes, told):
+            row(home, np.empty(0, np.uint64), None, np.empty(0, bool), place)
     h, m, place = hashes[first], None if more is None else more[first], places[first]
     bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -133,60 +140,75 @@ def _hashed(rows: DataFrame, pick: Callable, buckets: int) -> DataFrame:
 
     def run(batches):
         words_hash = WordHashes()
-        keys, parts, size = [], [], 0
+        names, parts, copied, size, words_held = {}, [], [], 0, 0
         for batch in batches:
             marks = batch.column(3) if marked else None
             texts = batch.column(2)
             for r, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key in names:
+                    copied[names[key]] = True
+                    continue
                 words = words_of(texts[r].as_py())
                 found = pick(words_hash.array(words), marks[r].values.to_numpy().astype(np.int64) if marked else None)
-                if len(found[0]):
-                    keys.append(key)
-                    parts.append(found)
-                    size += len(found[0])
-                if size >= FLUSH:
-                    yield _flush(keys, parts, buckets)
-                    keys, parts, size = [], [], 0
+                if not len(found[0]):
+                    continue
+                if parts and (size + len(found[0]) > FLUSH or words_held + len(words) > FLUSH_WORDS):
+                    yield _flush(list(names), parts, copied, buckets)
+                    names, parts, copied, size, words_held = {}, [], [], 0, 0
+                names[key] = len(parts)
+                parts.append(found)
+                copied.append(False)
+                size += len(found[0])
+                words_held += len(words)
         if parts:
-            yield _flush(keys, parts, buckets)
+            yield _flush(list(names), parts, copied, buckets)
 
     return rows.mapInArrow(run, PACKED)
 
 
-def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
-    """Places whose hash occurs more than once, per document. There are as many tasks as buckets, so a task's share does not grow."""
+class Bucket:
+    """What a bucket has got so far: witnesses, and places that batches found, of each name once."""
 
-    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        base, keys, parts, found = 0, [], [], []
-        for h, more, known, place, starts, k, k2 in rows:
-            place = np.frombuffer(place, np.uint32).astype(np.int64)
-            own = np.searchsorted(starts, place, "right") - 1
-            place = place - np.array(starts, np.int64)[own]
-            (parts if len(h) else found).append((np.frombuffer(h, np.uint64), np.frombuffer(more, np.uint32), np.frombuffer(known, np.uint8), own + base, place))
-            keys += zip(k, k2)
-            base += len(k)
-        owners, places = [f[3] for f in found], [f[4] for f in found]
-        if parts:
-            h, more, known, own, place = (np.concatenate(x) for x in zip(*parts))
+    def __init__(self) -> None:
+        self.names, self.found, self.parts = {}, {}, []
+
+    def add(self, h, more, known, place, starts, k, k2) -> None:
+        place = np.frombuffer(place, np.uint32).astype(np.int64)
+        own = np.searchsorted(starts, place, "right") - 1
+        place = place - np.array(starts, np.int64)[own]
+        name = np.array([self.names.setdefault(x, len(self.names)) for x in zip(k, k2)], np.int64)[own]
+        if len(h):
+            self.parts.append((np.frombuffer(h, np.uint64), np.frombuffer(more, np.uint32), np.frombuffer(known, np.uint8), name, place))
+        else:
+            for o, p in _by_doc(name, place):
+                self.found[o] = np.union1d(self.found[o], p.astype(np.int32)) if o in self.found else p.astype(np.int32)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        names, found = list(self.names), list(self.found.items())
+        if self.parts:
+            h, more, known, own, place = (np.concatenate(x) for x in zip(*self.parts))
             order, new = _groups(h, more if len(more) else None)
             again = (np.diff(np.r_[np.flatnonzero(new), len(h)]) > 1)[np.cumsum(new) - 1]
             told = order[again]
             told = told[known[told] == 0]  # the others were found where they came from
-            owners.append(own[told])
-            places.append(place[told])
-        if owners:
-            cols = list(zip(*((*keys[o], p.astype(np.int32)) for o, p in _by_doc(np.concatenate(owners), np.concatenate(places))))) or [(), (), ()]
+            found += [(o, np.unique(p).astype(np.int32)) for o, p in _by_doc(own[told], place[told])]
+        if found:
+            cols = list(zip(*((*names[o], p) for o, p in found)))
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32()))], names=["key", "key2", "places"])
 
+
+def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
+    """Places whose hash occurs more than once, per document. There are as many tasks as buckets, so a task's share does not grow."""
+
     def run(batches):
-        at, rows = None, []
+        at, have = None, Bucket()
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
-                    yield from one(rows)
-                    at, rows = bucket, []
-                rows.append(row)
-        yield from one(rows)
+                    yield from have.told()
+                    at, have = bucket, Bucket()
+                have.add(*row)
+        yield from have.told()
 
     found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
     return found.groupBy("key", "key2").agg(F.flatten(F.collect_list("places")).alias("places"))
@@ -198,10 +220,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, bucket_bytes: int =
         raise ValueError(f"window must be {PERIOD} words or more")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("key"), F.hash(F.lit(1), F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("key2"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, math.ceil(total / bucket_bytes))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes))
 
     marked = _repeated(_hashed(rows.select("key", "key2", "text"), lambda h, _: anchors(h, window), buckets), buckets)
-    # rows that repeat id and text have one name, and each of them is a witness
     # (doc_id is not needed here, but with it both joins read one and the same shuffle of the rows)
     near = rows.join(marked, ["key", "key2"]).select("key", "key2", "text", "places", "doc_id")
     repeated = _repeated(_hashed(near, lambda h, m: windows_around(h, m, window), buckets), buckets)

@@ -113,6 +113,27 @@ def test_repeated_passages_odd_rows(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_equal_rows(spark):
+    """Rows that repeat id and text cost as many places as one of them, whatever their number."""
+    other = prose(30) + " " + PASSAGE[: len(PASSAGE) // 2]
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(PASSAGE).alias("text")).unionByName(spark.createDataFrame([(1, other), (2, prose(50))], "doc_id long, text string"))
+    got = {(r.doc_id, r.n_words, r.n_removed, r["count"]) for r in substring_dedup.remove_repeats(rows.repartition(6)).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    words = len(other.split())
+    shared = brute.repeats([PASSAGE, PASSAGE, other])[2][1]
+    assert got == {(None, 60, 60, 100_000), (1, words, shared, 1), (2, 50, 0, 1)}
+
+
+def test_places_of_equal_rows_are_told_once(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FLUSH", 200)
+    text = PASSAGE + " " + prose(300)
+    rows = spark.createDataFrame([(7, text)] * 40 + [(8, text)] * 3 + [(9, prose(40) + " " + PASSAGE)], "doc_id long, text string").repartition(5)
+    named = rows.select(F.xxhash64("doc_id").alias("key"), F.hash("doc_id").alias("key2"), "text")
+    found = substring_dedup._repeated(substring_dedup._hashed(named, lambda h, _: substring_dedup.anchors(h, 35), 4), 4).collect()
+    assert len(found) == 3 and all(len(r.places) <= 2 * len(set(r.places)) for r in found)
+    want = brute.repeats([r.text for r in rows.collect()])
+    assert sorted((r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(rows).collect()) == sorted(want)
+
+
 def test_difference_cover():
     assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(substring_dedup.PERIOD))
 
@@ -165,6 +186,21 @@ def test_blocks_are_bounded(spark):
     assert len(whole) == 1 and sorted(windows(whole[0])) == sorted(sum(map(windows, blocks), []))
 
 
+def test_blocks_of_many_words(spark):
+    """Windows whose words are all different: a block ends at the alphabet's bound, and results don't change."""
+    base = spark.range(90_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.concat(F.lit("w"), (F.col("id") * 13 + k).cast("string"))), " ").alias("text"))
+    sizes = [len({w for _, words in b for w in words}) for b in decontaminate.item_blocks(base, "item_id", "text", decontaminate.BLOCK_WORDS, 13)]
+    assert len(sizes) == 2 and sizes[0] == 999_999 and sum(sizes) == 1_170_000
+    docs = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(13))), (2, "x " + " ".join("W%d" % i for i in range(13 * 89_999, 13 * 90_000))), (3, "w1 w2"), (4, None)], "doc_id long, text string")
+    got, _ = contaminated(docs, base)
+    assert [(g[0], g[1], g[2], g[3]) for g in got] == [(1, 13, 13, 1), (2, 14, 13, 1), (3, 2, 0, 0), (4, 0, 0, 0)]
+
+
+def test_letters_are_characters():
+    seen = [decontaminate.letter(k) for k in range(decontaminate.BLOCK_NAMES)]
+    assert seen[0] == 1 and len(set(seen)) == len(seen) and not any(0xD800 <= c < 0xE000 for c in seen) and seen[-1] < 0x110000
+
+
 def test_contamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     got, _ = contaminated(docs, none)
