@@ -57,6 +57,16 @@ def test_native_plans_run_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_samples_are_bounded(spark):
+    """A row an id, whatever the rows that repeat it."""
+    from offerlake.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, f"t{i:04d}") for i in range(5000)] + [(2, None), (2, "b"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    assert sorted(map(tuple, sample(docs, labels, "quality", F.lit(True), most_rows=10).collect())) == [(1, "t0000", 1), (2, "b", 0), (3, None, 1)]
+    assert sample(docs, labels, "quality", F.lit(True), most_rows=2).count() <= 2
+
+
 TEXTS = ["", None, "one two", "a b c a b c", "a b c a b c a b", "x\n\nx\n x\nx", "o " * 40_000, "z" * 200_000, "A#$ %&|<>* B", " lead and\ttrail \r\n", "é ñ ü " * 30, "the of and to " * 60, "w%d " * 3]
 TEXTS += [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (3, 10, 50, 200, 400)] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(3)]
 
