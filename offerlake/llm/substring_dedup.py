@@ -42,6 +42,7 @@ BUCKET_BYTES = 32_000_000
 FLUSH = 500_000
 FLUSH_WORDS = 1 << 30
 PACKED = "bucket int, hashes binary, more binary, known binary, places binary, starts array<int>, keys array<long>, keys2 array<int>"
+TOLD = "home int, keys binary, keys2 binary, counts binary, places binary"
 FOUND = "key long, key2 int, places array<int>"
 
 
@@ -183,35 +184,74 @@ class Bucket:
             for o, p in _by_doc(name, place):
                 self.found[o] = np.union1d(self.found[o], p.astype(np.int32)) if o in self.found else p.astype(np.int32)
 
-    def told(self) -> Iterator[pa.RecordBatch]:
-        names, found = list(self.names), list(self.found.items())
+    def told(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Places whose hash occurs more than once, packed by the home of their text: a row for each home, whatever the texts."""
+        if not self.names:
+            return
+        k, k2 = (np.array(x, t) for x, t in zip(zip(*self.names), (np.int64, np.int32)))
+        own, place = [np.repeat(list(self.found), [len(p) for p in self.found.values()])], list(self.found.values())
         if self.parts:
-            h, more, known, own, place = (np.concatenate(x) for x in zip(*self.parts))
+            h, more, known, name, at = (np.concatenate(x) for x in zip(*self.parts))
             order, new = _groups(h, more if len(more) else None)
             again = (np.diff(np.r_[np.flatnonzero(new), len(h)]) > 1)[np.cumsum(new) - 1]
             told = order[again]
             told = told[known[told] == 0]  # the others were found where they came from
-            found += [(o, np.unique(p).astype(np.int32)) for o, p in _by_doc(own[told], place[told])]
-        if found:
-            cols = list(zip(*((*names[o], p) for o, p in found)))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32()))], names=["key", "key2", "places"])
+            own.append(name[told])
+            place.append(at[told])
+        own, place = np.concatenate(own).astype(np.int64), np.concatenate([*place, np.empty(0, np.int64)]).astype(np.int32)
+        home = k[own] % buckets
+        order = np.lexsort((place, own, home))
+        own, place, home = own[order], place[order], home[order]
+        rows = []
+        for at, mine in _by_doc(home, np.arange(len(home))):
+            o = own[mine]
+            first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+            rows.append((at, k[o[first]].tobytes(), k2[o[first]].tobytes(), np.diff(np.r_[first, len(o)]).astype(np.int32).tobytes(), place[mine].tobytes()))
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=[f.split()[0] for f in TOLD.split(", ")])
+
+
+def _merged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """What all buckets told of a home's texts: a row for each text, its places in order and once."""
+    if not rows:
+        return
+    k, k2, count, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in enumerate((np.int64, np.int32, np.int32, np.int32)))
+    k, k2 = np.repeat(k, count), np.repeat(k2, count)
+    order = np.lexsort((place, k2, k))
+    k, k2, place = k[order], k2[order], place[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])]
+    once = new | np.r_[True, place[1:] != place[:-1]]
+    k, k2, place, new = k[once], k2[once], place[once], new[once]
+    first = np.flatnonzero(new)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(place, pa.int32()))
+    yield pa.record_batch([pa.array(k[first], pa.int64()), pa.array(k2[first], pa.int32()), places], names=["key", "key2", "places"])
 
 
 def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """Places whose hash occurs more than once, per document. There are as many tasks as buckets, so a task's share does not grow."""
 
-    def run(batches):
+    def count(batches):
         at, have = None, Bucket()
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
-                    yield from have.told()
+                    yield from have.told(buckets)
                     at, have = bucket, Bucket()
                 have.add(*row)
-        yield from have.told()
+        yield from have.told(buckets)
 
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
-    return found.groupBy("key", "key2").agg(F.flatten(F.collect_list("places")).alias("places"))
+    def merge(batches):
+        at, rows = None, []
+        for batch in batches:
+            for home, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if home != at:
+                    yield from _merged(rows)
+                    at, rows = home, []
+                rows.append(row)
+        yield from _merged(rows)
+
+    told = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, TOLD)
+    return told.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(merge, FOUND)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
