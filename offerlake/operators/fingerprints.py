@@ -23,9 +23,13 @@ def strict_fingerprint(domain: Column, category: Column, monthly: Column, curren
 
 
 def shingles(text: Column, width: int = 3) -> Column:
-    """Distinct runs of ``width`` characters; a shorter text has none."""
-    n = F.char_length(text)
-    return F.when(n < width, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - width), lambda i: F.substring(text, i + 1, F.lit(width)))))
+    """Distinct runs of ``width`` characters; a shorter text has none. The text is bound first, so that it is made once and not for every run."""
+
+    def runs(t: Column) -> Column:
+        n = F.char_length(t)
+        return F.when(n < width, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - width), lambda i: F.substring(t, i + 1, F.lit(width)))))
+
+    return let(text, runs)
 
 
 #: The least prime above 2**32.

@@ -62,7 +62,7 @@ FROM (SELECT *, {TITLES} AS s FROM part)"""
 
     def run(spark, d):
         spec = pages.registry(site)
-        rows = pages.posts(pages.walk(site_pages(spark, d, site), spec), spec, now())
+        rows = pages.posts(pages.walk(site_pages(spark, d, site), spec, want="post"), spec, now())
         return rows.select("canonical_url", "source_thread_id", "title", "author", F.unix_timestamp("posted_at").alias("posted"), "category", "raw_text")
 
     run.__name__ = f"site_posts_{site}"
@@ -85,7 +85,7 @@ def _items(site: str):
 
     def run(spark, d):
         spec = pages.registry(site)
-        found = pages.items(pages.walk(site_pages(spark, d, site), spec), spec)
+        found = pages.items(pages.walk(site_pages(spark, d, site), spec, want="items"), spec)
         text = lambda c: (F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c)
         monthly = F.col("price_monthly") if "price_monthly" in found.columns else F.lit(None).cast("double")
         return found.select("url", "price_amount", "price_currency", "billing_period", monthly.alias("price_monthly"), "ram_mb", "storage_gb", "bandwidth_gb", text("location"), text("order_url"), text("provider_domain"), "is_primary")

@@ -1,6 +1,6 @@
 """Pages of each site as posts and items.
 
-Only the walk over HTML is Python, a batch at a time: it yields the few texts, links and specification rows that a site's
+Only the walk over HTML is Python, a batch at a time and one pass a page: it yields the few texts, links and specification rows that a site's
 ``PageSpec`` names. What is read from those texts is column expressions.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from ..functions.places import location, posted_at
 from ..functions.specs import bandwidth_gb, ram_mb, storage_gb
 from ..functions.text import blank_to_null, clean_text, hits_with_context
 from ..operators.configurations import first_filled
-from .dom import tree
+from . import dom
 
 CODE = "(USD|EUR|GBP|CAD|AUD|JPY|INR|CNY|SGD)"
 # How prices are written.
@@ -59,46 +59,57 @@ SPECS = {
 }
 
 WALKED = "url string, page_title string, page_author string, page_date string, content string, links array<struct<href: string, text: string>>, spec_rows array<struct<text: string, value: string>>, spec_price string, error string"
+_WALKED_NAMES = ["url", "page_title", "page_author", "page_date", "content", "links", "spec_rows", "spec_price", "error"]
 
 
 def registry(name: str) -> PageSpec | None:
     return SPECS.get(name)
 
 
-def walk(pages: DataFrame, spec: PageSpec | None, url: str = "url", html: str = "html", *, by: str | None = None, keep: list[str] | None = None) -> DataFrame:
+LINK, ROW = pa.struct([("href", pa.string()), ("text", pa.string())]), pa.struct([("text", pa.string()), ("value", pa.string())])
+VALUES = ".spec-value, td:last-child"
+
+
+def _reading(spec: PageSpec, want: str) -> tuple[dom.Selectors, str | None]:
+    firsts = {"title": spec.title, "author": spec.author, "date": spec.date} if want != "items" else {}
+    firsts |= {"content": spec.content} | ({"price": (spec.spec_price,)} if spec.spec_price and want != "post" else {})
+    return dom.selectors(firsts, spec.spec_rows if want != "post" else "", VALUES), "content" if want != "post" and not spec.single_item and not spec.spec_rows else None
+
+
+def walk(pages: DataFrame, spec: PageSpec | None, url: str = "url", html: str = "html", *, by: str | None = None, keep: list[str] | None = None, want: str = "all") -> DataFrame:
     """The columns of ``WALKED`` for each page, and those named by ``keep``. A page that can't be read has its ``error`` and nothing else.
-    Without ``spec``, the column ``by`` names the site whose rules hold for a page, so that all sites are read in one pass."""
-    names = [x.strip().split()[0] for x in ("url", "page_title", "page_author", "page_date", "content", "links", "spec_rows", "spec_price", "error")]
-
-    def one(u: str, h: str | None, spec: PageSpec) -> tuple:
-        root = tree(h)
-        title, author, date, content = (root.first(*s) for s in (spec.title, spec.author, spec.date, spec.content))
-        when = (date.attrs.get("datetime") or date.attrs.get("title") or date.text()) if date else None
-        links = [{"href": a.attrs["href"], "text": a.text()} for a in content.select("a[href]")] if content else []
-        rows = []
-        for r in root.select(spec.spec_rows) if spec.spec_rows else []:
-            value = r.first(".spec-value, td:last-child")
-            rows.append({"text": r.text().lower(), "value": value.text() if value else None})
-        cost = root.first(spec.spec_price) if spec.spec_price else None
-        return (u, title and title.text(), author and author.text(), when, content and content.text(), links, rows, cost and cost.text(), None)
-
-    def guarded(u: str, h: str | None, site: str | None) -> tuple:
+    Without ``spec``, the column ``by`` names the site whose rules hold for a page, so that all sites are read in one pass. ``want``: ``post`` or
+    ``items`` leaves out what only the other reads."""
+    compiled: dict[str | None, tuple[dom.Selectors, str | None]] = {}
+
+    def one(h: str | None, site: str | None) -> tuple:
+        if site not in compiled:
+            compiled[site] = _reading(spec or SPECS[site], want)
+        chosen, links = compiled[site]
+        page = dom.Reader(chosen, links).read(h)
+        text = lambda name: (c := page.first(name)) and c.text
+        date, content = page.first("date"), page.first("content")
+        when = (date.attrs.get("datetime") or date.attrs.get("title") or date.text) if date else None
+        anchors = [(a.attrs["href"], a.text) for a in page.links_in(content)] if links and content else []
+        return text("title"), text("author"), when, content and content.text, anchors, [(r.text.lower(), r.value and r.value.text) for r in page.rows], text("price"), None
+
+    def guarded(h: str | None, site: str | None) -> tuple:
         try:
-            return one(u, h, spec or SPECS[site])
+            return one(h, site)
         except Exception as e:  # one bad page must not end the job
-            return (u, None, None, None, None, [], [], None, f"{type(e).__name__}: {e}")
+            return (None, None, None, None, [], [], None, f"{type(e).__name__}: {e}")
 
-    def run(frames):
-        for frame in frames:
-            sites = frame[by] if by else [None] * len(frame)
-            out = pd.DataFrame([guarded(u, h, site) for u, h, site in zip(frame["url"], frame["html"], sites)], columns=names)
-            for c in keep or []:
-                out[c] = frame[c]
-            yield out
+    def run(batches):
+        for batch in batches:
+            sites = batch.column(batch.schema.get_field_index(by)).to_pylist() if by else [None] * batch.num_rows
+            cols = list(zip(*(guarded(h.as_py(), site) for h, site in zip(batch.column(1), sites)))) or [()] * 8
+            pairs = lambda c, kind: pa.array([[dict(zip(kind.names, x)) for x in xs] for xs in c], pa.list_(kind))
+            out = [batch.column(0), *(pa.array(c, pa.string()) for c in cols[:4]), pairs(cols[4], LINK), pairs(cols[5], ROW), *(pa.array(c, pa.string()) for c in cols[6:])]
+            yield pa.RecordBatch.from_arrays([*out, *(batch.column(batch.schema.get_field_index(c)) for c in keep or [])], names=[*_WALKED_NAMES, *(keep or [])])
 
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), *dict.fromkeys([*(keep or []), *([by] if by else [])]))
+    rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), *dict.fromkeys([*(keep or []), *([by] if by else [])]))
     kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep or [])
-    return rows.mapInPandas(run, WALKED + kept)
+    return rows.mapInArrow(run, WALKED + kept)
 
 
 def posts(walked: DataFrame, spec: PageSpec, as_of: Column, *, category: Column | None = None, feed_title: Column | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import category as cat
 from offerlake.functions import urls
-from offerlake.sources import feeds, pages
-from offerlake.sources.dom import tree
+from offerlake.sources import dom, feeds, pages
 
 
 
@@ -89,10 +88,48 @@ def test_lists_and_cards(spark):
     assert [(r.url, r.source_thread_id) for r in feeds.card_threads(cards, now()).collect()] == [("https://l.test/server/a", "a")]
 
 
+def firsts(html, *names):
+    page = dom.read(html, {n: (n,) for n in names})
+    return [(c := page.first(n)) and c.text for n in names]
+
+
 def test_selectors():
-    root = tree("<div class='a b'><p id=x>1<b>2</b></p><td>q</td></div><a href='/order/1'>o</a>")
-    assert root.first(".a p").text() == "12" and root.first("#x b").text() == "2"
-    assert root.first("a[href*='order']").text() == "o" and root.first(".b .none, td").text() == "q" and root.first("h1") is None
+    got = firsts("<div class='a b'><p id=x>1<b>2</b></p><td>q</td></div><a href='/order/1'>o</a>", ".a p", "#x b", "a[href*='order']", ".b .none, td", "h1", "div.a.b td", "b p", "p td")
+    assert got == ["12", "2", "o", "q", None, "q", None, None]
+    page = dom.read("<h1>late</h1><p class=t>a<script>x</script>b<i>c</p>", {"title": (".T", "p.t", "h1")})
+    assert page.first("title").text == "abc"  # the second selector goes before the third, wherever its element stands
+
+
+def test_implied_ends():
+    """Rows, cells, entries, paragraphs and options end where the next begins."""
+    rows = lambda html: [(r.text, r.value and r.value.text) for r in dom.read(html, {}, rows="tr, li, p, dd, option", values="td:last-child").rows]
+    assert rows("<table><tr><td>Memory<td>2 GB<tr><td>CPU<td>4 cores<tbody><tr><td>x</table>") == [("Memory2 GB", "2 GB"), ("CPU4 cores", "4 cores"), ("x", "x")]
+    assert rows("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == [("abc", None), ("b", None), ("c", None), ("d", None)]
+    assert rows("<p>a<p>b<div>c</div>d<p>e<b>f</p>g") == [("a", None), ("b", None), ("ef", None)]
+    assert rows("<dl><dt>k<dd>v<dt>l<dd>w</dl><select><option>1<option>2</select>") == [("v", None), ("w", None), ("1", None), ("2", None)]
+    assert rows("<table><tr><td>out<table><tr><td>in<td>last</table><td>z</table>") == [("outinlastz", "last"), ("inlast", "last")]
+    assert rows("</p><tr><td>a</td><td>b</td><br></tr>") == [("ab", None)]  # the last child is no cell
+
+
+def test_deep_and_unclosed_pages_are_read_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    page = dom.read("<p>" + "<div class=d>" * 20_000 + "x" + "<tr><td>a<td>b" * 20_000, {"d": (".d .d .d",)}, rows="tr", values="td:last-child")
+    assert page.first("d").text.startswith("x") and len(page.rows) == 20_000 and page.rows[7].value.text == "b"
+    assert time.perf_counter() - start < 3
+
+
+def test_unclosed_listing(spark):
+    html = LISTING.replace("</td>", "").replace("</tr>", "")
+    (_,), (item,) = parsed(spark, html, "listings", "https://l.test/server/abc")
+    assert (item.ram_mb, item.cpu, item.price_amount) == (None, "4 cores", 20.0)
+
+
+def test_only_what_is_wanted_is_read(spark):
+    rows = spark.createDataFrame([("https://f.test/threads/a.12/", FORUM_B)], "url string, html string")
+    post, items = (pages.walk(rows, pages.SPECS["forum_b"], want=w).first() for w in ("post", "items"))
+    assert post.page_author == "AcmeHost" and post.links == [] and items.page_title is None and items.links[0].href == "/cart/1" and post.content == items.content
 
 
 def test_summary(spark):
