@@ -1,12 +1,15 @@
-"""Changes to parquet tables, as DataFrames of the table after the change. Written by ``save``: a new snapshot, then one rename."""
+"""Changes to parquet tables, as DataFrames of the table after the change. ``Store.change`` writes them bucket by bucket, ``Store.save`` as a whole."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stash, unstash
+
 #: The sources that a new store starts with.
 DEFAULT_SOURCES = ["forum_a", "blog", "forum_b", "forum_c", "listings"]
 
@@ -72,11 +75,33 @@ def repeated_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).count().where("count > 1")
 
 
+#: Buckets of a keyed table; a store may name another number.
+BUCKETS = 64
+#: Keys of a batch that are broadcast at most (of 100 bytes: 20 MB); beyond that, a shuffle joins them.
+MOST_KEYS = 200_000
+
+
+def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def known_keys(batch: DataFrame, history: DataFrame, keys: list[str], most: int = MOST_KEYS) -> DataFrame:
+    """Those of the batch's distinct keys that the history has. A semi join over the history comes first, so no more than the batch's keys are ever
+    shuffled, and of the history nothing where those are few enough to be broadcast."""
+    own = batch.select(*keys)
+    few = own.limit(most + 1).count() <= most
+    return history.select(*keys).join(F.broadcast(own) if few else own, keys, "left_semi").distinct()
+
+
 class Store:
-    """Tables under one folder, each a pointer to its newest snapshot. Readers of an older one are not disturbed."""
+    """Tables under one folder, as parquet partitioned by batch and bucket; or, by ``save``, as snapshots, of which the newest counts.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    The rows of a key are in the bucket of its hash, so what looks for keys reads their buckets only. A numbered batch overwrites its own
+    partitions (dynamic overwrite): run again, it leaves the same rows. ``change`` rewrites the buckets of a keyed table that a change touches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -102,19 +127,74 @@ class Store:
         if not self._fs.rename(self._path(own), self._path(f"{self.path}/{table}/v{number:012d}")):
             raise OSError(f"could not publish {table}")
 
-    def append(self, table: str, df: DataFrame, batch: int) -> None:
-        """Add the rows of a numbered batch; a batch that is there already is left as it is, so a repeated run adds nothing."""
-        at = self._path(f"{self.path}/{table}/b{batch:012d}")
-        if self._fs.exists(at):
-            return
-        own = f"{self.path}/{table}/_{uuid.uuid4().hex}"
-        df.write.parquet(own)
-        if not self._fs.rename(self._path(own), at):
-            raise OSError(f"could not publish {table}")
-
-    def rows(self, table: str, before: int | None = None) -> DataFrame | None:
-        """All appended batches, or those numbered below ``before``; None without any."""
-        at = self._path(f"{self.path}/{table}")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        names = sorted(n for n in names if n.startswith("b") and (before is None or int(n[1:]) < before))
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names]) if names else None
+    def _schema(self, table: str, df: DataFrame | None = None) -> str | None:
+        """The columns of a keyed table as DDL; a table's first rows set them."""
+        at = self._path(f"{self.path}/{table}/_columns")
+        if not self._fs.exists(at):
+            if df is None:
+                return None
+            out = self._fs.create(at, True)
+            out.write(bytearray(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "utf-8"))
+            out.close()
+        stream = self._fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write(self, table: str, df: DataFrame, keys: list[str], **parts: Column) -> None:
+        rows = df.withColumns({**parts, "_bucket": bucket_of(keys, self.buckets)}).hint("rebalance", "_bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "_bucket").parquet(f"{self.path}/{table}")
+
+    def append(self, table: str, df: DataFrame, batch: int, keys: list[str]) -> None:
+        """Add the rows of a numbered batch; run again under its number, a batch takes its own place."""
+        self._schema(table, df)
+        self._write(table, df, keys, _batch=F.lit(batch))
+
+    def rows(self, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """All batches or those numbered below ``before``, and all buckets or some; None for a table that never had a batch."""
+        columns = self._schema(table)
+        if columns is None:
+            return None
+        out = self.spark.read.schema(f"{columns}, _batch int, _bucket int").parquet(f"{self.path}/{table}")
+        if before is not None:
+            out = out.where(F.col("_batch") < before)
+        return (out if buckets is None else out.where(F.col("_bucket").isin(buckets))).drop("_batch", "_bucket")
+
+    def buckets_of(self, rows: DataFrame, keys: list[str]) -> list[int]:
+        """The buckets that hold the keys of some rows: no more numbers than there are buckets."""
+        return sorted(r[0] for r in rows.select(bucket_of(keys, self.buckets)).distinct().collect())
+
+    def known(self, table: str, batch: DataFrame, keys: list[str], before: int | None = None) -> DataFrame | None:
+        """Keys of the batch that the table has, found in the batch's buckets alone."""
+        history = self.rows(table, before, self.buckets_of(batch, keys))
+        return None if history is None else known_keys(batch, history, keys)
+
+    def create(self, table: str, df: DataFrame, keys: list[str]) -> None:
+        """A keyed table that changes in place, bucket by bucket."""
+        self._schema(table, df)
+        self._write(table, df, keys)
+
+    def state(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        out = self.spark.read.schema(f"{self._schema(table)}, _bucket int").parquet(f"{self.path}/{table}")
+        return (out if buckets is None else out.where(F.col("_bucket").isin(buckets))).drop("_bucket")
+
+    def change(self, table: str, keys: list[str], touching: DataFrame | Column, change: Callable[[DataFrame], DataFrame]) -> list[int]:
+        """Rewrite the buckets that hold the keys of ``touching`` (rows with the key columns, or a condition on the table's own rows) by ``change``, one of
+        this module's changes; the others' files stay as they are. Rows of a bucket go to the same bucket: keys don't change. The buckets come back.
+
+        The new rows are written down before they replace anything, so a change that fails leaves the table as it was; one that ends while
+        partitions are swapped is mended by running it again.
+        """
+        rows = self.state(table).where(touching) if isinstance(touching, Column) else touching
+        hit = self.buckets_of(rows, keys)
+        if hit:
+            new = stash(change(self.state(table, hit)), f"{table}-change")
+            left = self.buckets_of(new, keys)
+            if not set(left) <= set(hit):
+                raise ValueError("a change gave a row a key of another bucket")
+            self._write(table, new, keys)
+            for bucket in set(hit) - set(left):
+                self._fs.delete(self._path(f"{self.path}/{table}/_bucket={bucket}"), True)
+            unstash(new)
+        return hit

@@ -116,12 +116,13 @@ class OffersQuery:
         return self.matching(posts, items).orderBy(*self.order()).offset((self.page - 1) * self.page_size).limit(self.page_size)
 
     def page_nested(self, posts: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-        """The page's posts, each with its (matching) items as an array and its source as a struct, in order.
+        """The page's posts as they are shown, each with its (matching) items as an array and its source as a struct, in order.
 
-        The page is read once: its rows, ``MOST_PAGE`` at most, come to the driver, and their keys are a filter that reaches the scan of items.
+        The page is read once: its rows, ``MOST_PAGE`` at most and without what is hidden, come to the driver, and their keys are a filter that
+        reaches the scan of items.
         """
         wanted, c = self.item_filter(), self.columns
-        found = self.page_posts(posts, items)
+        found = shown(self.page_posts(posts, items))
         rows = found.collect()
         page = posts.sparkSession.createDataFrame(rows, found.schema)
         own = items.where(F.col(c.item_post).isin([r[c.post_id] for r in rows]))
@@ -158,15 +159,23 @@ def pages_of(total: Column, page_size: int) -> Column:
     return F.greatest(F.ceil(total / page_size), F.lit(1)).cast("long")
 
 
-HIDDEN = ["canonical_url", "raw_html", "raw_text", "metadata"]
+HIDDEN = ["canonical_url", "raw_html", "raw_text", "metadata", "llm_metadata"]
 
 
 def shown(posts: DataFrame) -> DataFrame:
-    """Posts as they are shown: metadata lifted, heavy and internal columns dropped."""
-    m = posts
-    if "metadata" in posts.columns:
-        m = m.withColumns({"provider_name": F.col("metadata.provider_name"), "provider_domain": F.col("metadata.provider_domain"), "highlights": F.coalesce("metadata.highlights", F.array().cast("array<string>"))})
-    return m.drop(*HIDDEN)
+    """Posts as they are shown: metadata lifted, heavy and internal columns dropped. Metadata is a variant, read by path, or a struct; a post without
+    any has null names and no highlights."""
+    for name in ("llm_metadata", "metadata"):
+        if name not in posts.columns:
+            continue
+        if posts.schema[name].dataType.simpleString() == "variant":
+            of = lambda field, kind, m=name: F.try_variant_get(m, f"$.{field}", kind)
+        else:
+            of = lambda field, kind, m=name: F.col(f"{m}.{field}")
+        empty = F.array().cast("array<string>")
+        posts = posts.withColumns({"provider_name": of("provider_name", "string"), "provider_domain": of("provider_domain", "string"), "highlights": F.coalesce(of("highlights", "array<string>"), empty)})
+        break
+    return posts.drop(*HIDDEN)
 
 
 def detail(posts: DataFrame, items: DataFrame, sources: DataFrame, post_id, columns: Columns | None = None, most_items: int = 100) -> DataFrame:

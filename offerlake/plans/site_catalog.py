@@ -219,6 +219,73 @@ def ingest_full(spark, d):
     store = Store(spark, fresh_path(spark, "ingest"))
     ingestion.ingest(store, threads.where("k % 2 = 1").drop("k"), deals, 0, now())
     ingestion.ingest(store, threads.drop("k"), deals, 1, now())
-    items = store.rows("items").select("source_name", "canonical_url", "price_amount", "ram_mb", "provider_name")
-    posts = store.rows("posts").select("source_name", "canonical_url", "category", "is_duplicate", (F.regexp_extract("source_thread_id", r"(\d+)", 1).cast("long") % 2 == 0).alias("second_batch"))
-    return posts.join(items, ["source_name", "canonical_url"]).select("canonical_url", "category", "price_amount", "ram_mb", "provider_name", "second_batch", "is_duplicate")
+    items = store.rows("items").select(F.col("post_id").alias("id"), "price_amount", "ram_mb", "provider_name")
+    posts = store.rows("posts").select("id", "canonical_url", "category", "is_duplicate", (F.regexp_extract("source_thread_id", r"(\d+)", 1).cast("long") % 2 == 0).alias("second_batch"))
+    return posts.join(items, "id").select("canonical_url", "category", "price_amount", "ram_mb", "provider_name", "second_batch", "is_duplicate")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 10 < 7 AND o_orderkey % 83 <> 0 AS kept FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 79 = 0 THEN 'upserted' WHEN k % 89 = 0 THEN 'assigned' WHEN k % 97 = 0 THEN 'touched' ELSE 'kept' END AS state, CAST(k % 79 = 0 AND NOT kept AS INTEGER) AS born FROM o WHERE kept OR k % 79 = 0""")
+def changed_buckets(spark, d):
+    """A keyed table after a touch, an update, a delete and an upsert, each of which rewrites the buckets of its own keys."""
+    key, orders = ["o_orderkey"], t(spark, d, "orders").select("o_orderkey", F.lit("kept").alias("state"), F.lit(0).alias("born"))
+    store = Store(spark, fresh_path(spark, "changes"), buckets=16)
+    store.create("orders", orders.where("o_orderkey % 10 < 7"), key)
+    part = lambda n: orders.select("o_orderkey").where(f"o_orderkey % {n} = 0")
+    store.change("orders", key, part(97), lambda rows: tables.touched(rows, part(97), key, F.lit("touched"), "state"))
+    hit = F.col("o_orderkey") % 89 == 0
+    store.change("orders", key, hit, lambda rows: tables.assigned(rows, hit, {"state": F.lit("assigned")}))
+    store.change("orders", key, part(83), lambda rows: tables.without(rows, part(83), "o_orderkey", "o_orderkey"))
+    new = part(79).withColumns({"state": F.lit("upserted"), "born": F.lit(1)})
+    store.change("orders", key, new, lambda rows: tables.upserted(rows, new, key, ["state"], ["born"]))
+    return store.state("orders")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 20 AS u, event_id % 3 AS batch FROM events), f AS (SELECT *, min(batch) OVER (PARTITION BY event_id // 2) AS first_batch, min(event_id) OVER (PARTITION BY event_id // 2, batch) AS first_event FROM e)
+SELECT event_id // 2 AS key, batch FROM f WHERE batch = first_batch AND event_id = first_event""")
+def fresh_keys(spark, d):
+    """Three batches of keys, of which a later one holds many of an earlier one: new keys only, checked in the batch's buckets."""
+    from ..streaming.ingest import fresh
+
+    rows = t(spark, d, "events").select(F.expr("event_id div 2").alias("key"), (F.col("event_id") % 3).cast("long").alias("batch"))
+    store = Store(spark, fresh_path(spark, "keys"), buckets=16)
+    for number in range(3):
+        store.append("keys", fresh(rows.where(F.col("batch") == number), store, "keys", ["key"], ["batch"], number), number, ["key"])
+    return store.rows("keys")
+
+
+SOURCE = "CASE WHEN p_partkey % 11 = 0 THEN 'blog' WHEN p_partkey % 7 = 0 THEN 'nobody' ELSE 'forum_a' END"
+SUMMARY = f"concat('<p>Price: $', {PRICE}, '/mo</p> https://s', p_partkey % 40, '.test/order/1')"
+DEAL = f"""concat('{{"deals":[{{"id":"', {SOURCE}, ':', {PAGES['forum_a'][0]}, '","is_valid":', CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END, ',"provider_name":"P', p_partkey % 5, '","highlights":', CASE WHEN p_partkey % 3 = 0 THEN '["x","y"]' ELSE 'null' END, '}}]}}')"""
+
+
+@query(f"""WITH p AS (SELECT *, {PAGES['forum_a'][0]} AS url, {TITLES} AS title, p_partkey % 10 = 0 AS told FROM {PARTS} WHERE {SOURCE} = 'forum_a' AND p_partkey % 4 <> 0),
+i AS (SELECT *, CASE WHEN p_partkey % 5 = 0 AND NOT told THEN 2 ELSE p_partkey % 3 END AS batch, CASE WHEN told THEN 'USD' ELSE {CURRENCY} END AS currency, CASE WHEN told THEN a ELSE {MONTHLY} END AS monthly, CASE WHEN told THEN concat('s', p_partkey % 40, '.test') ELSE 'a.test' END AS domain FROM p),
+f AS (SELECT *, concat_ws('|', domain, 'vps', CAST(CAST(monthly AS DECIMAL(12, 2)) AS STRING), lower(currency), '', CASE WHEN told THEN '' ELSE CAST(p_size * 1024 AS STRING) END, CASE WHEN told THEN '' ELSE CAST(p_size * 10 AS STRING) END, CASE WHEN told THEN '' ELSE '2048' END) AS fp FROM i),
+g AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY batch, url) AS place FROM f),
+m AS (SELECT *, sha1(concat('forum_a', chr(10), url)) AS id, count(*) OVER () AS total FROM g WHERE place = 1 AND currency = 'USD' AND monthly >= 50)
+SELECT id, title, 'forum_a' AS source, concat('P', p_partkey % 5) AS provider_name, CASE WHEN p_partkey % 3 = 0 THEN 'x, y' ELSE '' END AS highlights, a AS price, 1 AS n_items, told AS from_summary, total FROM m ORDER BY title, id LIMIT 100""")
+def ingest_and_page(spark, d):
+    """Three batches of threads into a store, with pages that are missing (some have a summary, others come again later), a source without rules
+    and one that is not enabled; then the offers query, by its own default columns, over what was ingested."""
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr(SOURCE).alias("source_name"), F.expr(PAGES["forum_a"][0]).alias("url"), F.expr(TITLES).alias("title"), F.lit("vps").alias("category"), F.expr(f"CASE WHEN p_partkey % 10 = 0 THEN {SUMMARY} END").alias("summary"), F.expr(PAGES["forum_a"][1]).alias("html"), F.expr(DEAL).alias("envelope"))
+    missing = rows.withColumn("html", F.when(F.col("k") % 5 != 0, F.col("html")))
+    deals = configurations.valid_deals(rows.select("envelope"), "envelope").select("deal_id", "deal")
+    sources = spark.createDataFrame([("forum_a", True), ("nobody", True), ("blog", False)], "name string, enabled boolean")
+    store = Store(spark, fresh_path(spark, "ingest"), buckets=8)
+    for number in range(3):
+        batch = missing.where(F.col("k") % 3 == number)
+        batch = batch.where("k % 5 <> 0 or k % 10 = 0").unionByName(rows.where("k % 5 = 0 and k % 10 <> 0")) if number == 2 else batch
+        ingestion.ingest(store, batch, deals, number, now(), sources=sources)
+    posts, items = store.rows("posts"), store.rows("items")
+    q = offers.OffersQuery(page_size=100, currency="usd", min_price=50, sort="title")
+    page = q.page_nested(posts, items, sources).crossJoin(q.total(posts, items))
+    return page.select("id", "title", F.col("source.name").alias("source"), "provider_name", F.array_join("highlights", ", ").alias("highlights"), F.get("items", 0)["price_amount"].alias("price"), F.size("items").alias("n_items"), F.get("items", 0)["provider_domain"].startswith("s").alias("from_summary"), "total")
+
+
+@query("""SELECT n_name AS name, n_nationkey % 3 <> 0 AS enabled, count(*) FILTER (WHERE n_nationkey % 3 <> 0) OVER () AS n_enabled FROM nation""")
+def sources_listed(spark, d):
+    """Sources as a capped list, and how many of them a run takes."""
+    sources = t(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("enabled"))
+    n = ingestion.listed_sources(sources, enabled=True).agg(F.count("*").alias("n_enabled"))
+    return ingestion.listed_sources(sources).crossJoin(n)

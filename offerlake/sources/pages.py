@@ -47,12 +47,13 @@ class PageSpec:
     spec_rows: str = ""
     spec_price: str = ""
     date_default_now: bool = False
+    summary: bool = False  # a feed's summary stands in for a page that is missing
 
 
 # Selectors and words of each site's markup.
 SPECS = {
-    "forum_a": PageSpec(("h1.Title", ".PageTitle h1", "h1.discussionTitle", "article h1", "h1"), (".Author a", ".username"), ("time",), (".Message", ".post-content", "article"), "Deal Post", urls.discussion_id, cat.FORUM_A, "order|buy|purchase|client|cart|signup", "order|cart|client", (LEADING, LABELLED), 300),
-    "blog": PageSpec(("h1.entry-title", ".post-title", "article h1", "h1"), (), ("time",), (".entry-content", ".post-content", "article"), "Deal Post", urls.blog_id, cat.BLOG, "order|buy|purchase|client|cart|signup|visit", "order|cart|client", (LEADING, LABELLED), 300),
+    "forum_a": PageSpec(("h1.Title", ".PageTitle h1", "h1.discussionTitle", "article h1", "h1"), (".Author a", ".username"), ("time",), (".Message", ".post-content", "article"), "Deal Post", urls.discussion_id, cat.FORUM_A, "order|buy|purchase|client|cart|signup", "order|cart|client", (LEADING, LABELLED), 300, summary=True),
+    "blog": PageSpec(("h1.entry-title", ".post-title", "article h1", "h1"), (), ("time",), (".entry-content", ".post-content", "article"), "Deal Post", urls.blog_id, cat.BLOG, "order|buy|purchase|client|cart|signup|visit", "order|cart|client", (LEADING, LABELLED), 300, summary=True),
     "forum_b": PageSpec(("h1.p-title-value",), (".message-name",), ("time",), (".message-body .bbWrapper",), "Unknown", urls.threads_id, cat.FORUM_B, "order|buy|purchase|client|billing"),
     "forum_c": PageSpec(("h1.p-title-value, .thread-title, h1",), (".message-userDetails a, .author-name, .username",), ("time, .DateTime, .post-date",), (".message-body, .postcontent, .post-content, article.message",), "Offer", urls.showthread_id, cat.FORUM_C, prices=tuple(PLAIN), single_item=True, date_default_now=True),
     "listings": PageSpec(("h1, .server-title, .listing-title",), (".provider-name, .company-name, .seller-name",), (), (".server-description, .listing-content, .description, article",), "Server Offer", urls.listing_id, cat.LISTINGS, spec_rows=".spec-row, .spec-item, .server-spec, tr", spec_price=".price, .server-price, .listing-price", date_default_now=True),
@@ -183,9 +184,21 @@ def items(walked: DataFrame, spec: PageSpec) -> DataFrame:
     return text_items(walked, spec, link=order_link(spec, F.col("links"), F.col("url")))
 
 
+def summary_posts(rows: DataFrame, spec: PageSpec, *, category: Column, title: Column, summary: str = "summary", keep: list[str] | None = None) -> DataFrame:
+    """Post fields from a feed's summary, where a page is missing: it has no author and no date."""
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.col("url").alias("canonical_url"), spec.thread_id(F.col("url")).alias("source_thread_id"), F.coalesce(blank_to_null(title), F.lit(spec.default_title)).alias("title"), none.alias("author"),
+        none.cast("timestamp").alias("posted_at"), category.alias("category"), summary_text(F.col(summary)).alias("raw_text"), *(keep or []),
+    )
+
+
+def summary_text(summary: Column) -> Column:
+    return clean_text(F.regexp_replace(summary, "<[^>]*>", " "))
+
+
 def summary_items(rows: DataFrame, spec: PageSpec, summary: str = "summary") -> DataFrame:
-    """Items of a feed's summary, where a page is missing: tags go, and the first url of the text that leads to an order is its link."""
-    text = clean_text(F.regexp_replace(F.col(summary), "<[^>]*>", " "))
+    """Items of a feed's summary: tags go, and the first url of the text that leads to an order is its link."""
+    rows = rows.withColumn("raw_text", summary_text(F.col(summary)))
     found = F.regexp_extract_all(F.col("raw_text"), F.lit(r"https?://[^\s<>\"']+"), F.lit(0))
-    link = F.get(F.filter(found, lambda u: u.rlike("(?i)order|cart|client|buy|billing")), 0)
-    return text_items(rows.withColumn("raw_text", text), spec, "raw_text", link)
+    return text_items(rows, spec, "raw_text", F.get(F.filter(found, lambda u: u.rlike("(?i)order|cart|client|buy|billing")), 0))

@@ -6,46 +6,51 @@ first to show, ``seen`` a stamp for each key of a batch; the last stamp of a key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread_join
+from ..operators.shared import stash, unstash
 from ..operators.tables import Store, new_rows
 
 
-def fresh(batch: DataFrame, history: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of the batch whose key the history lacks, one for each key. Of the history only the keys are read."""
-    return new_rows(batch, batch.limit(0) if history is None else history, keys, [F.col(c) for c in order])
+def fresh(batch: DataFrame, store: Store, table: str, keys: list[str], order: list[str], number: int | None = None) -> DataFrame:
+    """Rows of the batch whose key the table lacks (in batches before ``number``), one for each key. The batch is read first: of the history only the
+    key columns of its buckets are read, and a semi join leaves of those what the batch has too, before anything is shuffled."""
+    own = stash(batch.select(*keys).distinct(), "batch-keys")
+    known = store.known(table, own, keys, number)
+    return new_rows(batch, batch.limit(0) if known is None else stash(known, "known-keys"), keys, [F.col(c) for c in order])
 
 
-def flagged(posts: DataFrame, prints: DataFrame, owners: DataFrame | None, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+def flagged(posts: DataFrame, prints: DataFrame, owners: Callable[[DataFrame], DataFrame | None], keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """``posts`` with is_duplicate, and the fingerprints that are new. ``prints``: keys, the columns of ``order`` and fingerprint.
 
-    A post is a duplicate where the history owns a fingerprint of it, or an earlier post of the batch. The history is read
-    for the batch's fingerprints alone; nulls are left out before any shuffle.
+    A post is a duplicate where the history owns a fingerprint of it, or an earlier post of the batch. ``owners`` says which of some fingerprints the
+    history has. A fingerprint that many posts share is joined with its owner over several tasks; nulls are left out before any shuffle.
     """
-    rank = F.struct(*order, *keys)
+    rank = F.struct(*dict.fromkeys([*order, *keys]))
     prints = prints.where("fingerprint is not null").withColumn("_rank", rank)
-    first = prints.groupBy("fingerprint").agg(F.min("_rank").alias("_first"))
-    if owners is None:
-        first = first.withColumn("_old", F.lit(False))
-    else:
-        old = owners.select("fingerprint").join(first.select("fingerprint"), "fingerprint", "left_semi").distinct().withColumn("_old", F.lit(True))
-        first = first.join(old, "fingerprint", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
-    hit = prints.join(first, "fingerprint").where(F.col("_old") | (F.col("_first") < F.col("_rank"))).select(*keys).distinct().withColumn("is_duplicate", F.lit(True))
+    first = stash(prints.groupBy("fingerprint").agg(F.min("_rank").alias("_first"), F.count("*").alias("_posts")), "batch-prints")
+    old = owners(first.select("fingerprint"))
+    first = first.withColumn("_old", F.lit(False)) if old is None else first.join(old.withColumn("_old", F.lit(True)), "fingerprint", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    hit = spread_join(prints, first, ["fingerprint"], "_posts", keys).where(F.col("_old") | (F.col("_first") < F.col("_rank"))).select(*keys).distinct().withColumn("is_duplicate", F.lit(True))
     out = posts.join(hit, keys, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     return out, first.where("not _old").select("fingerprint")
 
 
 def ingest_batch(store: Store, batch: DataFrame, keys: list[str], number: int, *, at: str = "ts", order: list[str] | None = None, fingerprint: str = "fingerprint", table: str = "posts") -> None:
     """New keys are appended, with a duplicate flag against history and batch; every key gets a stamp. A batch that is run again
-    under its number finds its parts there and adds nothing."""
+    under its number is checked against those before it and takes its own place."""
     order = order or [at, *keys]
-    new = fresh(batch, store.rows(table, number), keys, order)
+    new = stash(fresh(batch, store, table, keys, order, number), "fresh")
     prints = new.select(*dict.fromkeys([*keys, *order]), F.col(fingerprint).alias("fingerprint"))
-    rows, owners = flagged(new, prints, store.rows(f"{table}-owners", number), keys, order)
-    store.append(table, rows, number)
-    store.append(f"{table}-owners", owners, number)
-    store.append(f"{table}-seen", batch.groupBy(*keys).agg(F.max(at).alias("seen_at")), number)
+    rows, owners = flagged(new, prints, lambda f: store.known(f"{table}-owners", f, ["fingerprint"], number), keys, order)
+    store.append(table, rows, number, keys)
+    store.append(f"{table}-owners", owners, number, ["fingerprint"])
+    store.append(f"{table}-seen", batch.groupBy(*keys).agg(F.max(at).alias("seen_at")), number, keys)
+    unstash(new)
 
 
 def last_seen(store: Store, keys: list[str], table: str = "posts") -> DataFrame:

@@ -1,11 +1,14 @@
 """Fingerprints, duplicates, JSON offers, table changes and the stream."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from offerlake.operators import configurations as conf
 from offerlake.operators import duplicates, fingerprints, tables
 from offerlake.operators.tables import Store
-from offerlake.plans import health
+from offerlake.plans import health, ingestion, offers
+from offerlake.streaming import ingest
 from offerlake.streaming.ingest import ingest_batch, ingest_stream, last_seen
 
 
@@ -78,7 +81,7 @@ def test_store_and_stream(spark, tmp_path):
     a, b = ({(r.key, r.last_seen_at) for r in last_seen(s, ["key"]).collect()} for s in (whole, streamed))
     assert a == b and len(a) == 40
     assert whole.rows("posts").where("not is_duplicate").count() == 17 and streamed.rows("posts").count() == 40
-    assert whole.rows("posts", 0) is None and whole.rows("posts", 1).count() == 40
+    assert whole.rows("posts", 0).count() == 0 and whole.rows("nothing") is None and whole.rows("posts", 1).count() == 40
     snapshots = Store(spark, str(tmp_path / "snapshots"))
     assert not snapshots.exists("t")
     snapshots.save("t", batch)
@@ -86,6 +89,103 @@ def test_store_and_stream(spark, tmp_path):
     assert snapshots.read("t").count() == 1
 
 
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_history_is_read_by_bucket(spark, tmp_path):
+    """Only the buckets of a batch's keys are read, and the history is joined where it lies: no shuffle of it, however large."""
+    store = Store(spark, str(tmp_path), buckets=32)
+    history = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.lit("text").alias("text"))
+    store.append("posts", history, 0, ["key"])
+    batch = spark.createDataFrame([("k7",), ("k8",), ("new",), ("new",)], "key string")
+    known = store.known("posts", batch, ["key"], 1)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+    assert plan.index("Exchange hashpartitioning") < plan.index("LeftSemi")  # what is shuffled are the keys that were found
+    assert "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "ReadSchema: struct<key:string>" in plan
+    assert sorted(r.key for r in known.collect()) == ["k7", "k8"]
+    files = lambda rows: rows.select(F.input_file_name()).distinct().count()
+    assert files(store.rows("posts", 1, store.buckets_of(batch, ["key"]))) <= 3 < files(store.rows("posts")) == 32
+    assert [r.key for r in ingest.fresh(batch, store, "posts", ["key"], ["key"], 1).collect()] == ["new"]
+    assert sorted(r.key for r in tables.known_keys(batch, store.rows("posts"), ["key"], most=0).collect()) == ["k7", "k8"]  # too many to be broadcast
+
+
+def test_changes_rewrite_the_buckets_they_touch(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=32)
+    store.create("t", spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v")), ["k"])
+    before, batch = files_of(tmp_path / "t"), spark.createDataFrame([(3,), (5,)], "k long")
+    hit = store.change("t", ["k"], batch, lambda rows: tables.touched(rows, batch, ["k"], F.lit("new"), "v"))
+    after = files_of(tmp_path / "t")
+    same = {f for f in before if after.get(f) == before[f]}
+    assert 1 <= len(hit) <= 2 and len({f.split("/")[0] for f in same}) == 32 - len(hit)
+    assert store.state("t").where("v = 'new'").count() == 2 and store.state("t").count() == 1000
+    assert store.change("t", ["k"], F.col("k") < 0, tables.emptied) == []
+    one = store.buckets_of(batch.where("k = 3"), ["k"])
+    store.change("t", ["k"], store.state("t", one), tables.emptied)  # a bucket without rows goes
+    assert store.state("t", one).count() == 0 and store.state("t").count() == sum(r["count"] for r in store.state("t").groupBy("k").count().collect()) < 1000
+    try:
+        store.change("t", ["k"], batch.where("k = 5"), lambda rows: rows.withColumn("k", F.col("k") + 1))
+        raise AssertionError("keys of other buckets must be refused")
+    except ValueError:
+        assert store.state("t").where("k = 5").count() == 1
+
+
+def thread(source, url, html, **how):
+    return (source, url, how.get("title", "T"), how.get("category", "vps"), how.get("summary"), html)
+
+
+THREADS = "source_name string, url string, title string, category string, summary string, html string"
+PAGE = "<h1>VPS</h1><div class='Message'>Price: $3.00/mo 1GB RAM <a href='https://acme.test/order'>o</a></div>"
+
+
+def answers(spark, threads):
+    rows = [(json.dumps({"deals": [{"id": f"{s}:{u}", "is_valid": True, "provider_name": "P", "highlights": ["h"]}]}),) for s, u, *_ in threads]
+    return conf.valid_deals(spark.createDataFrame(rows, "e string"), "e").select("deal_id", "deal")
+
+
+def test_missing_pages(spark, tmp_path):
+    """A summary stands in for a missing page; a thread without either is rejected and tried again; errors stop no other."""
+    store, at = Store(spark, str(tmp_path), buckets=4), F.lit("2024-05-01 00:00:00").cast("timestamp")
+    first = [
+        thread("forum_a", "https://f.test/discussion/1/a", PAGE), thread("forum_a", "https://f.test/discussion/2/b", None, title="By feed", summary="<p>Price: $4/mo 2GB RAM</p> https://acme.test/order/1"),
+        thread("forum_a", "https://f.test/discussion/3/c", None), thread("forum_b", "https://f.test/threads/x.4/", None, summary="Price: $4/mo"), thread("nobody", "https://n.test/", PAGE), thread("blog", "https://b.test/?p=9", PAGE),
+    ]
+    sources = spark.createDataFrame([("forum_a", True), ("forum_b", True), ("nobody", True), ("blog", False)], "name string, enabled boolean")
+    frame = lambda rows: spark.createDataFrame(rows, THREADS)
+    counts = ingestion.ingest(store, frame(first), answers(spark, first), 0, at, sources=sources)
+    assert counts == {"discovered": 5, "valid": 5, "rejected": 3, "ingested": 2}
+    posts = {r.source_thread_id: r for r in store.rows("posts").collect()}
+    assert set(posts) == {"1", "2"} and posts["1"].raw_html == PAGE and posts["2"].raw_html is None
+    assert (posts["2"].title, posts["2"].raw_text, posts["2"].author, posts["2"].posted_at) == ("By feed", "Price: $4/mo 2GB RAM https://acme.test/order/1", None, None)
+    items = {r.post_id: r for r in store.rows("items").collect()}
+    assert (items[posts["2"].id].price_amount, items[posts["2"].id].ram_mb, items[posts["2"].id].provider_domain) == (4.0, 2048, "acme.test")
+    assert sorted(r.error for r in store.rows("rejected").collect()) == ["KeyError: 'nobody'", "the page is missing", "the page is missing"]
+    again = [first[0], thread("forum_a", "https://f.test/discussion/3/c", PAGE.replace("3.00", "9.00"))]
+    assert ingestion.ingest(store, frame(again), answers(spark, again), 1, at) == {"discovered": 2, "valid": 1, "rejected": 0, "ingested": 1}
+    assert sorted(r.source_thread_id for r in store.rows("posts").collect()) == ["1", "2", "3"]
+    (shown,) = offers.OffersQuery(search="9.00").page_nested(store.rows("posts"), store.rows("items")).collect()
+    assert (shown.provider_name, shown.highlights, shown["items"][0].price_amount) == ("P", ["h"], 9.0) and not set(offers.HIDDEN) & set(shown.asDict())
+    assert store.rows("posts").schema["llm_metadata"].dataType.simpleString() == "variant"
+
+
+def test_extractor_before_ingestion(spark, tmp_path):
+    store, at = Store(spark, str(tmp_path), buckets=4), F.lit("2024-05-01 00:00:00").cast("timestamp")
+    rows = [thread("forum_a", f"https://f.test/discussion/{i}/a", PAGE + "x" * 9000) for i in range(7)]
+
+    def answer(threads):
+        if any(t["url"].endswith("/4/a") for t in threads):
+            raise TimeoutError("late")
+        assert all(len(t["content"]) == 8000 for t in threads)
+        return json.dumps({"deals": [{"id": t["id"], "is_valid": not t["url"].endswith("/1/a")} for t in threads]})
+
+    frame = spark.createDataFrame(rows, THREADS)
+    assert ingestion.ingest_extracted(store, frame, answer, 0, at, size=3)["ingested"] == 3  # 0, 2 and 6: one is invalid, 3 to 5 wait
+    ok = lambda threads: json.dumps({"deals": [{"id": t["id"], "is_valid": True} for t in threads]})
+    assert ingestion.ingest_extracted(store, frame, ok, 1, at, size=3) == {"discovered": 7, "valid": 4, "rejected": 0, "ingested": 4}
+    assert store.rows("posts").count() == 7
+
+
 def test_batches_of_rows_with_other_columns(spark):
     rows = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.col("id").alias("x"), F.lit("text").alias("y")).repartition(16)
     got = conf.batch_numbers(rows, ["k"], 30)
