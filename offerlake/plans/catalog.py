@@ -349,4 +349,4 @@ def stream_ingest(spark, d):
     return store.rows("posts").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "is_duplicate")
 
 
-from . import site_catalog  # noqa: E402, F401  (registers its queries in the same table)
+from . import site_catalog, stream_catalog  # noqa: E402, F401  (they register their queries in the same table)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any_case
@@ -113,7 +113,10 @@ class OffersQuery:
 
     def page_posts(self, posts: DataFrame, items: DataFrame) -> DataFrame:
         """The page's posts, by one top-k with an offset."""
-        return self.matching(posts, items).orderBy(*self.order()).offset((self.page - 1) * self.page_size).limit(self.page_size)
+        return self._page_of(self.matching(posts, items))
+
+    def _page_of(self, matching: DataFrame) -> DataFrame:
+        return matching.orderBy(*self.order()).offset((self.page - 1) * self.page_size).limit(self.page_size)
 
     def page_nested(self, posts: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         """The page's posts as they are shown, each with its (matching) items as an array and its source as a struct, in order.
@@ -121,8 +124,17 @@ class OffersQuery:
         The page is read once: its rows, ``MOST_PAGE`` at most and without what is hidden, come to the driver, and their keys are a filter that
         reaches the scan of items.
         """
+        return self._nested(shown(self.page_posts(posts, items)), posts, items, sources)
+
+    def page_and_total(self, posts: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """``page_nested`` and ``total`` from one pass: what matches is counted while the page is picked from it."""
+        counted = Observation()
+        matching = self.matching(posts, items).observe(counted, F.count("*").alias("total"))
+        nested = self._nested(shown(self._page_of(matching)), posts, items, sources)
+        return nested, counted.get["total"]
+
+    def _nested(self, found: DataFrame, posts: DataFrame, items: DataFrame, sources: DataFrame | None) -> DataFrame:
         wanted, c = self.item_filter(), self.columns
-        found = shown(self.page_posts(posts, items))
         rows = found.collect()
         page = posts.sparkSession.createDataFrame(rows, found.schema)
         own = items.where(F.col(c.item_post).isin([r[c.post_id] for r in rows]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import category as cat
 from ..functions import urls
 from ..functions.text import blank_to_null, clean_text
+from ..operators.shared import stash
 
 # How many entries of a feed or list are taken.
 CAPS = {"forum_a": 100, "blog": 50, "forum_b": 50, "forum_c": 20, "listings": 50}
@@ -20,6 +21,18 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_path").alias("feed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
 
 
+def read_feeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejected): feeds read as by ``read_feed``, and a row (feed, error) for every entry that is not well-formed and every file (of any
+    bytes) without one entry. Of a file with such an entry those before it are read; other files are read as if it were not there."""
+    rows = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(f"{ITEM}, _corrupt string").option("recursiveFileLookup", "true").load(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("feed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    rows = stash(rows, "feeds")  # read once; what is not well-formed is known only once an entry is parsed as a whole
+    bad = rows.where(F.col("_corrupt").isNotNull()).select("feed", F.concat(F.lit("not well-formed: "), F.substring(F.regexp_replace("_corrupt", r"\s+", " "), 1, 200)).alias("error"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("feed"))
+    none = files.join(rows.select("feed").distinct(), "feed", "left_anti").select("feed", F.lit("no entries").alias("error"))
+    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), bad.unionByName(none)
+
+
 def threads(entries: DataFrame, source: str, as_of: Column, thread_id, categories: tuple) -> DataFrame:
     """Discovered threads of feed entries: titles cleaned, dates or ``as_of``, summary or else content. Of entries that know their
     ``feed`` and ``place`` only the source's first ones (``CAPS``) of each feed are taken."""
