@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: tuple[in
     if 4 * similarity[0] < 3 * similarity[1]:
         raise ValueError("the sketches are made for a similarity of 3/4 or more")
     sig = stash(signatures(docs, width=width, k=k, id_col=id_col, text_col=text_col), "near-signatures")
-    copies = stash(sig.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "near-copies")
+    copies = stash(sig.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "near-copies")
     reps = sig.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n", "sketch")
     lists = inverted_lists(reps, k=k, shared=shared)
 
@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: tuple[in
             left = apart(left.join(best, ["a", "b"], "left_anti"), comp)
 
     unstash(texts, star, links, found)
-    named = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"])
+    named = stash(copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "rows", F.coalesce("component", "rep").alias("component_id")), "near-named")
+    # the copies of a text, and all empty ones, have one key: those of a hot one are dealt over several tasks
+    out = spread_join(sig.select("doc_id", "n", "h1", "h2"), named, ["h1", "h2", "n"], "rows", ["doc_id"])
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
