@@ -167,6 +167,13 @@ def envelope(total: int, page: int, page_size: int) -> dict:
     return {"total": total, "page": page, "page_size": page_size, "pages": max(1, math.ceil(total / page_size))}
 
 
+def responses(nested: DataFrame, total: int, page: int, page_size: int) -> DataFrame:
+    """A page as JSON text: a row for each post of it, in order, within its envelope. ``nested`` is one page (``page_nested``)."""
+    head = envelope(total, page, page_size)
+    keys = [F.lit(head[k]).alias(k) for k in ("total", "page", "page_size", "pages")]
+    return nested.select(F.to_json(F.struct(*keys, F.struct(*nested.columns).alias("item")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def pages_of(total: Column, page_size: int) -> Column:
     return F.greatest(F.ceil(total / page_size), F.lit(1)).cast("long")
 

@@ -289,3 +289,26 @@ def sources_listed(spark, d):
     sources = t(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("enabled"))
     n = ingestion.listed_sources(sources, enabled=True).agg(F.count("*").alias("n_enabled"))
     return ingestion.listed_sources(sources).crossJoin(n)
+
+
+@query("""SELECT 'seeded' AS step, count(*) AS n FROM (SELECT n_name FROM nation WHERE n_nationkey < 9 UNION SELECT unnest(['forum_a', 'blog', 'forum_b', 'forum_c', 'listings']))
+UNION ALL SELECT 'again', count(*) FROM (SELECT n_name FROM nation WHERE n_nationkey < 9 UNION SELECT unnest(['forum_a', 'blog', 'forum_b', 'forum_c', 'listings'])) UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'repeated_regions', count(*) FROM (SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING count(*) > 1) UNION ALL SELECT 'emptied', 0""")
+def seeds_and_keys(spark, d):
+    """Default sources are added where they are absent, once; keys that break uniqueness; a table after all its rows went."""
+    none = F.lit(None)
+    sources = t(spark, d, "nation").where("n_nationkey < 9").select(F.col("n_name").alias("name"), none.cast("string").alias("base_url"), F.lit(True).alias("enabled"), none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("updated_at"))
+    once = tables.seeded(sources, tables.DEFAULT_SOURCES, now())
+    steps = {"seeded": once, "again": tables.seeded(once, tables.DEFAULT_SOURCES, now()), "repeated": tables.repeated_keys(once, ["name"]), "repeated_regions": tables.repeated_keys(t(spark, d, "nation"), ["n_regionkey"]), "emptied": tables.emptied(once)}
+    out = [rows.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n") for step, rows in steps.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query("""SELECT concat('{"total":', count(*) OVER (), ',"page":1,"page_size":100,"pages":', CAST(greatest(ceil(count(*) OVER () / 100.0), 1) AS BIGINT), ',"item":{"id":"', n_nationkey, '","title":"', n_name, '","items":[{"price":', n_regionkey, '}]}}') AS json FROM nation ORDER BY n_name LIMIT 100""")
+def json_responses(spark, d):
+    """A page as JSON text; ids are strings."""
+    n = t(spark, d, "nation")
+    posts = n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"))
+    items = n.select(F.col("n_nationkey").cast("string").alias("post_id"), F.col("n_regionkey").alias("price"))
+    q = offers.OffersQuery(page_size=100, sort="title", include_duplicates=True)
+    page, total = q.page_and_total(posts, items)
+    return offers.responses(page, total, 1, 100)
