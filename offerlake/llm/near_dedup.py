@@ -48,17 +48,16 @@ FINE_K, FINE_SHARED, FINE_ESTIMATE = 256, 153, 0.62
 SHORT = 12
 TILE = 256
 
-_HASHES: list[WordHashes] = []
+#: Words whose hashes a task keeps; they go when it ends.
+HELD_WORDS = 150_000
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingles(text: str | None, width: int = WIDTH, held: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
     words = words_of(text, lower=True)
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(_HASHES[0].array(words), min(width, len(words))))
+    return np.unique(window_hashes((WordHashes() if held is None else held).array(words), min(width, len(words))))
 
 
 def _sequence_hash(hashes: np.ndarray) -> tuple[int, int]:
@@ -73,11 +72,11 @@ def signatures(docs: DataFrame, *, width: int = WIDTH, k: int = K, id_col: str =
     """doc_id, n (size of the shingle set), h1 and h2 (of the word sequence), sketch (ascending, as signed longs)."""
 
     def sign(batches):
-        words_hash = WordHashes()
+        words_hash = WordHashes(HELD_WORDS)
         for batch in batches:
             ids, ns, h1, h2, sketches = batch.column(0), [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text, lower=True)
+            for text in batch.column(1):
+                words = words_of(text.as_py(), lower=True)
                 hashes = words_hash.array(words)
                 own = np.unique(window_hashes(hashes, min(width, len(words)))) if words else hashes
                 a, b = _sequence_hash(hashes)
@@ -135,11 +134,16 @@ def sketches(texts: DataFrame, k: int, width: int) -> DataFrame:
     """doc_id, n and sketch of ``k`` values."""
 
     def sketch(batches):
+        held = WordHashes(HELD_WORDS)
         for batch in batches:
-            own = [shingles(x, width) for x in batch.column(1).to_pylist()]
-            ends = np.cumsum([0] + [min(k, len(x)) for x in own])
-            flat = np.concatenate([x[:k] for x in own]) ^ np.uint64(1 << 63) if own else np.empty(0, np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["doc_id", "n", "sketch"])
+            own, ns = [], []
+            for text in batch.column(1):
+                x = shingles(text.as_py(), width, held)
+                ns.append(len(x))
+                own.append(x[:k].copy())  # the whole set goes
+            ends = np.cumsum([0] + [len(x) for x in own])
+            flat = np.concatenate(own) ^ np.uint64(1 << 63) if own else np.empty(0, np.uint64)
+            yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["doc_id", "n", "sketch"])
 
     return texts.select("doc_id", "text").mapInArrow(sketch, f"doc_id {_kind(texts)}, n long, sketch array<long>")
 
@@ -268,13 +272,13 @@ def verify(pairs: DataFrame, texts: DataFrame, *, width: int = WIDTH, similarity
     ids_type = to_arrow_type(texts.schema["doc_id"].dataType)
 
     def check(batches):
-        last = (None, None)
+        last, held = (None, None), WordHashes(HELD_WORDS)
         for batch in batches:
             us, vs = [], []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):  # texts one at a time
                 if b != last[0]:
-                    last = (b, shingles(tb, width))
-                x, y = shingles(ta, width), last[1]
+                    last = (b, shingles(tb.as_py(), width, held))
+                x, y = shingles(ta.as_py(), width, held), last[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common and below * common >= above * (len(x) + len(y) - common):
                     us.append(a)
