@@ -7,6 +7,9 @@ scheme or fragment only, are aliases. Aliases form connected components (``compo
 blocked url is blocked, unless a rule explicitly allows one of its urls: allow goes before block. A page's own rule
 goes before both.
 
+Urls get their component and verdict once each; a url that many pages have, and a component of many urls, are dealt over
+several tasks (``spread_join``).
+
 A null url, or one without ``://``, has an empty host and path, fits no rule, is nobody's alias and is allowed. Relative targets are
 resolved against the page. Repeated pages stay separate rows; an empty table gives no rows; other columns
 are not read. The rules are a parameter of at most ``MOST_RULES``: they become one expression.
@@ -17,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread_join
 from .common import stash
 from .components import components
 
@@ -88,8 +92,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str =
     # what rules say of any url that is a page or a target; all others can't turn a component
     spoken = rows.where("node is not null and own is not null").select("node", "own").unionByName(ends.select(F.col("v").alias("node"), said.alias("own")).where("own is not null")).distinct()
     placed = spoken.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "own")
-    blocked = placed.groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed")).where("allowed = 0").select("component", F.lit(True).alias("blocked"))
-    open_rows = rows.where("own is null and node is not null").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).join(blocked, "component", "left")
+    blocked = placed.groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed")).where("allowed = 0").select("component")
+    # a row a url with its pages; a component's blocked urls are found where a row a component says how many it has
+    open_pages = rows.where("own is null and node is not null")
+    urls = stash(open_pages.groupBy("node").agg(F.count("*").alias("pages")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "url-nodes")
+    sizes = stash(urls.groupBy("component").agg(F.count("*").alias("urls")).join(blocked, "component", "left_semi"), "url-blocked")
+    stopped = spread_join(urls.select("node", "component"), sizes, ["component"], "urls", ["node"]).select("node", F.lit(True).alias("blocked"))
+    facts = stash(urls.join(stopped, "node", "left"), "url-verdicts")
+    open_rows = spread_join(open_pages, facts, ["node"], "pages", ["page_id"])
     open_rows = open_rows.select("page_id", "host", "path", "rule", F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"), "component")
     ruled = rows.where("own is not null or node is null").select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.col("node").alias("component"))
     return open_rows.unionByName(ruled)

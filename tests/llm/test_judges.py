@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlake.llm import quality_classifier as qc
-from offerlake.llm import quality_rules, toxicity, url_filter
+from offerlake.llm import common, components, line_dedup, quality_rules, toxicity, url_filter
 from offerlake.llm.queries import QUERIES, RULES
 
 from . import brute
@@ -51,10 +51,30 @@ def test_urls(spark):
     assert url_filter.judge(rows.limit(0), RULES).count() == 0
 
 
-def test_native_plans_run_no_python(spark):
+def test_native_plans_run_no_python(spark, monkeypatch):
+    """Every table that is written on the way, and the last plan."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return common.stash(df, name)
+
+    for module in (url_filter, quality_rules, line_dedup, components):
+        monkeypatch.setattr(module, "stash", seen)
     for name in ("op3_url_filter", "op4_line_dedup", "op6_quality_rules"):
-        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-        assert not re.search("Python|Pandas|Arrow", plan)
+        before = len(plans)
+        plans.append(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
+        assert len(plans) > before + 1
+    assert not any(re.search("Python|Pandas|Arrow", plan) for plan in plans)
+
+
+def test_hot_urls_are_dealt(spark):
+    """One url of a third of all pages, in a blocked component of many urls, and one that no rule touches."""
+    pages = [(i, "http://hot.test/", "") for i in range(2000)] + [(2000 + i, f"http://alias.test/{i}", link("http://hot.test/")) for i in range(2000)]
+    pages += [(4000, "http://hot.test/#x", link("http://shop.com/de/1"))] + [(5000 + i, "http://free.test/", None) for i in range(2000)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    assert len(got) == len(pages) and {(r.verdict, r.component) for r in got if r.page_id <= 4000} == {("block", "alias.test/0")}
+    assert {(r.verdict, r.component) for r in got if r.page_id >= 5000} == {("allow", "free.test/")}
 
 
 def test_samples_are_bounded(spark):
