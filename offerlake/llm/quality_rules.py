@@ -36,7 +36,6 @@ COMMON = {
 }
 N_COMMON = 25
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[#*$%&|<>]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,9 +78,12 @@ def figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.when(F.col(lang_col).isin(list(COMMON)), F.col(lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), text.alias("t"))
-    left = lambda pattern: F.char_length(F.regexp_replace("t", pattern, "")).cast("long")
-    size = F.char_length("t").cast("long")
-    wordy, upper, lower, digit, high, symbols = left(SPACE), left("[^A-Z]+"), left("[^a-z]+"), left("[^0-9]+"), left(r"[\x00-\x7F]+"), left("[^#*$%&|<>]+")
+    # each class is cut out of what the classes before it left, so only the first two cuts go over the whole text
+    texts = [F.col("t")]
+    for cut in (SPACE, "[a-z]+", "[A-Z]+", "[0-9]+", r"[^\x00-\x7F]+", "[#*$%&|<>]+"):
+        texts.append(F.regexp_replace(texts[-1], cut, ""))
+    size, wordy, *left = [F.char_length(t).cast("long") for t in texts]
+    lower, upper, digit, high, symbols = [a - b for a, b in zip([wordy, *left], left)]
     lists = F.coalesce(*[F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()], F.array().cast("array<string>"))
 
     def of_words(words: Column) -> Column:
@@ -91,9 +93,8 @@ def figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     words = let(F.array_remove(F.split("t", SPACE), ""), of_words)
     lines = let(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    rows = rows.select("doc_id", "lang", size.alias("chars"), wordy.alias("word_chars"), upper.alias("up"), lower.alias("low"), digit.alias("dig"), high.alias("high"), symbols.alias("n_symbols"), lines.alias("n_dup_lines"), words.alias("w"))
-    rest = F.col("word_chars") - F.col("up") - F.col("low") - F.col("dig") - F.col("high") - F.col("n_symbols")
-    classes = F.array("up", "low", "dig", "high", "n_symbols", rest, F.col("chars") - F.col("word_chars"))
+    rows = rows.select("doc_id", "lang", size.alias("chars"), wordy.alias("word_chars"), upper.alias("up"), lower.alias("low"), digit.alias("dig"), high.alias("high"), symbols.alias("n_symbols"), left[-1].alias("rest"), lines.alias("n_dup_lines"), words.alias("w"))
+    classes = F.array("up", "low", "dig", "high", "n_symbols", "rest", F.col("chars") - F.col("word_chars"))
     return rows.select("doc_id", "lang", "chars", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), F.col("w.common").alias("common"))
 
 
