@@ -98,10 +98,20 @@ def batch_numbers(rows: DataFrame, order: list[str], size: int = 30) -> DataFram
 SUMMARY_CHARS, CONTENT_CHARS, POST_CHARS, PAGE_CHARS = 500, 800, 3000, 8000
 
 
+def _part(label: str, c: Column, chars: int | None = None) -> Column:
+    """A labelled line, cut at ``chars``; null where there is nothing to show."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c if chars is None else F.substring(c, 1, chars)))
+
+
 def prompt_block(number: Column, title: Column, url: Column, summary: Column, content: Column) -> Column:
     """A thread as a block of a prompt; summary and content are cut, a rule ends it."""
-    part = lambda label, c, n=None: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c if n is None else F.substring(c, 1, n)))
-    return F.concat_ws("\n", F.concat(F.lit("Thread "), number.cast("string")), part("Title", title), part("URL", url), part("Summary", summary, SUMMARY_CHARS), part("Content", content, CONTENT_CHARS), F.lit("---"))
+    parts = [_part("Title", title), _part("URL", url), _part("Summary", summary, SUMMARY_CHARS), _part("Content", content, CONTENT_CHARS)]
+    return F.concat_ws("\n", F.concat(F.lit("Thread "), number.cast("string")), *parts, F.lit("---"))
+
+
+def post_block(title: Column, content: Column) -> Column:
+    """A post by itself, of which more is shown."""
+    return F.concat_ws("\n", _part("Title", title), _part("Content", content, POST_CHARS))
 
 
 ENVELOPES = "batch long, envelope string, error string"

@@ -7,6 +7,7 @@ Posts are ``orders``, items ``lineitem``, sources nations; texts are ``documents
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,14 @@ def offers_with_source(spark, d):
     return joined.select("o_orderkey", F.col("source.n_name").alias("source_name"), F.col("source.n_regionkey").alias("region"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS category FROM orders o WHERE o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
+def unique_in_currency(spark, d):
+    """Without duplicates, as is the default; a currency in lower case."""
+    q = offers.OffersQuery(currency="r", columns=replace(C, duplicate="dup"), sorts=BY_DATE)
+    posts = t(spark, d, "orders").withColumn("dup", F.col("o_orderstatus") == "P")
+    return q.matching(posts, t(spark, d, "lineitem")).select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("category"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), lower('Thing')) OR contains(lower(source), lower('Thing'))")
 def search_text(spark, d):
     q = offers.OffersQuery(search="Thing", columns=offers.Columns(post_id="doc_id", duplicate=None, text=["text", "source"]))
@@ -178,6 +187,27 @@ def extract_specs(spark, d):
     return t(spark, d, "part").select("p_partkey", specs.ram_mb(s).alias("ram_mb"), specs.storage_gb(s).alias("storage_gb"), specs.bandwidth_gb(s).alias("bandwidth_gb"))
 
 
+SIZED_TEXT = "CASE p_size % 6 WHEN 0 THEN p_size || ' GB, 3 TB monthly data allowance and more' WHEN 1 THEN p_size || ' GB for what you keep, and much further on in this text also 1.5TB' WHEN 2 THEN p_size || ' GB RAM here, then after a good many words of filler ' || p_size * 10 || 'gb in total' WHEN 3 THEN 'Volume ' || p_size || '.5 TB, and a longer stretch of words before memory ' || p_size || ' GB' WHEN 4 THEN p_size || 'GB next to a disk; ' || p_size || '0 GB next to that' ELSE p_name END"
+
+
+@query(rf"""WITH x AS (SELECT p_partkey, {SIZED_TEXT} AS s, '(?i)\d+(?:\.\d+)?\s*(?:TB|GB)\b' AS size FROM part),
+y AS (SELECT p_partkey, s, regexp_extract_all(s, size) AS hits, string_split_regex(s, size) AS pieces FROM x), z AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM y),
+h AS (SELECT p_partkey, i, hits[i] AS hit, s, length(array_to_string(pieces[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS start FROM z),
+c AS (SELECT p_partkey, i, CAST(trunc(CAST(regexp_extract(hit, '^\d+(?:\.\d+)?') AS DOUBLE) * CASE WHEN upper(right(hit, 2)) = 'TB' THEN 1024 ELSE 1 END) AS INT) AS gb, s[greatest(start - {specs.WINDOW}, 0) + 1:start + length(hit) + {specs.WINDOW}] AS context FROM h),
+f AS (SELECT p_partkey, arg_min(gb, i) FILTER (WHERE NOT regexp_matches(context, '(?i){specs.TRAFFIC}|{specs.MEMORY}')) AS storage_gb, arg_min(gb, i) FILTER (WHERE NOT regexp_matches(context, '(?i){specs.STORAGE}|{specs.MEMORY}')) AS bandwidth_gb FROM c GROUP BY p_partkey)
+SELECT p_partkey, storage_gb, bandwidth_gb FROM part LEFT JOIN f USING (p_partkey)""")
+def sizes_by_surroundings(spark, d):
+    """Sizes that no word of their kind stands next to: the first whose surroundings name nothing else."""
+    n = F.col("p_size").cast("string")
+    cases = [
+        (F.lit(""), " GB, 3 TB monthly data allowance and more"), (F.lit(""), " GB for what you keep, and much further on in this text also 1.5TB"),
+        (F.lit(""), F.concat(F.lit(" GB RAM here, then after a good many words of filler "), (F.col("p_size") * 10).cast("string"), F.lit("gb in total"))),
+        (F.lit("Volume "), F.concat(F.lit(".5 TB, and a longer stretch of words before memory "), n, F.lit(" GB"))), (F.lit(""), F.concat(F.lit("GB next to a disk; "), n, F.lit("0 GB next to that"))),
+    ]
+    s = F.coalesce(*[F.when(F.col("p_size") % 6 == i, F.concat(head, n, F.lit(tail) if isinstance(tail, str) else tail)) for i, (head, tail) in enumerate(cases)], F.col("p_name"))
+    return t(spark, d, "part").select("p_partkey", specs.storage_gb(s).alias("storage_gb"), specs.bandwidth_gb(s).alias("bandwidth_gb"))
+
+
 @query(r"SELECT page_id, nullif(regexp_replace(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) ELSE regexp_extract(url, '^([^/?#]*)', 1) END, '^www\.', ''), '') AS domain FROM pages")
 def extract_domain(spark, d):
     return t(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
@@ -350,3 +380,14 @@ def stream_ingest(spark, d):
 
 
 from . import site_catalog, stream_catalog  # noqa: E402, F401  (they register their queries in the same table)
+
+
+@query(f"""WITH x AS (SELECT doc_id, substring(text, 1, 40) AS title, CASE WHEN doc_id % 4 > 0 THEN source END AS url, CASE WHEN doc_id % 3 > 0 THEN text END AS summary, CASE WHEN doc_id % 2 > 0 THEN text END AS content FROM documents)
+SELECT doc_id, md5(concat_ws(chr(10), 'Thread ' || doc_id, CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN url <> '' THEN 'URL: ' || url END, CASE WHEN summary <> '' THEN 'Summary: ' || substring(summary, 1, {configurations.SUMMARY_CHARS}) END, CASE WHEN content <> '' THEN 'Content: ' || substring(content, 1, {configurations.CONTENT_CHARS}) END, '---')) AS thread,
+md5(concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN content <> '' THEN 'Content: ' || substring(content, 1, {configurations.POST_CHARS}) END)) AS post FROM x""")
+def prompt_blocks(spark, d):
+    """What an extractor is shown of a thread in a batch, and of a post by itself."""
+    text, n = F.col("text"), F.col("doc_id")
+    title, content = F.substring(text, 1, 40), F.when(n % 2 > 0, text)
+    thread = configurations.prompt_block(n, title, F.when(n % 4 > 0, F.col("source")), F.when(n % 3 > 0, text), content)
+    return t(spark, d, "documents").select("doc_id", F.md5(thread.cast("binary")).alias("thread"), F.md5(configurations.post_block(title, content).cast("binary")).alias("post"))
