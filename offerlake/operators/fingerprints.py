@@ -45,7 +45,7 @@ def minhash(items: Column, permutations: int = PERMUTATIONS) -> Column:
     """For each permutation the least of (a h + b) mod ``PRIME`` over the items' 32-bit hashes h; nulls where there are none.
     Every item is hashed once (the head of its MD5, which other engines have too)."""
     hashes = F.transform(items, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-    rules = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(permutation, range(permutations))])
+    rules = F.expr(f"array({', '.join(f"named_struct('a', {a}L, 'b', {b}L)" for a, b in map(permutation, range(permutations)))})")
     return let(hashes, lambda s: F.transform(rules, lambda p: F.array_min(F.transform(s, lambda h: (h * p["a"] + p["b"]) % PRIME))))
 
 

@@ -96,8 +96,11 @@ def known_keys(batch: DataFrame, history: DataFrame, keys: list[str], most: int
 class Store:
     """Tables under one folder, as parquet partitioned by batch and bucket; or, by ``save``, as snapshots, of which the newest counts.
 
-    The rows of a key are in the bucket of its hash, so what looks for keys reads their buckets only. A numbered batch overwrites its own
-    partitions (dynamic overwrite): run again, it leaves the same rows. ``change`` rewrites the buckets of a keyed table that a change touches.
+    The rows of a key are in the bucket of its hash, so what looks for keys reads their buckets only. A numbered batch overwrites its own folder: run
+    again, it leaves the rows of the last run alone. ``change`` rewrites the buckets of a keyed table that a change touches (dynamic overwrite).
+
+    ``buckets`` is fixed for a store. Each batch and change writes a file for each bucket that it has rows of: choose it by the size of the whole history (some
+    hundred MB a bucket), not by that of a batch.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
@@ -142,14 +145,15 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, table: str, df: DataFrame, keys: list[str], **parts: Column) -> None:
-        rows = df.withColumns({**parts, "_bucket": bucket_of(keys, self.buckets)}).hint("rebalance", "_bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "_bucket").parquet(f"{self.path}/{table}")
+    def _write(self, table: str, df: DataFrame, keys: list[str], mode: str, folder: str = "") -> None:
+        rows = df.withColumn("_bucket", bucket_of(keys, self.buckets)).hint("rebalance", "_bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_bucket").parquet(f"{self.path}/{table}{folder}")
 
     def append(self, table: str, df: DataFrame, batch: int, keys: list[str]) -> None:
-        """Add the rows of a numbered batch; run again under its number, a batch takes its own place."""
+        """Add the rows of a numbered batch; run again under its number, a batch takes its own place, whatever its rows were before. ``df`` must not
+        read that batch of the table."""
         self._schema(table, df)
-        self._write(table, df, keys, _batch=F.lit(batch))
+        self._write(table, df, keys, "static", f"/_batch={batch}")
 
     def rows(self, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """All batches or those numbered below ``before``, and all buckets or some; None for a table that never had a batch."""
@@ -173,7 +177,7 @@ class Store:
     def create(self, table: str, df: DataFrame, keys: list[str]) -> None:
         """A keyed table that changes in place, bucket by bucket."""
         self._schema(table, df)
-        self._write(table, df, keys)
+        self._write(table, df, keys, "dynamic")
 
     def state(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         out = self.spark.read.schema(f"{self._schema(table)}, _bucket int").parquet(f"{self.path}/{table}")
@@ -193,7 +197,7 @@ class Store:
             left = self.buckets_of(new, keys)
             if not set(left) <= set(hit):
                 raise ValueError("a change gave a row a key of another bucket")
-            self._write(table, new, keys)
+            self._write(table, new, keys, "dynamic")
             for bucket in set(hit) - set(left):
                 self._fs.delete(self._path(f"{self.path}/{table}/_bucket={bucket}"), True)
             unstash(new)

@@ -374,7 +374,7 @@ def stream_ingest(spark, d):
     schema = t(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.select("event_id", "user_id", "ts", F.concat_ws("|", "event_type", F.col("user_id") % 50).alias("fingerprint"))
-    store = Store(spark, f"{root}/tables")
+    store = Store(spark, f"{root}/tables", buckets=16)
     ingest_stream(rows, store, ["event_id"], f"{root}/checkpoint", order=["event_id"]).awaitTermination()
     return store.rows("posts").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "is_duplicate")
 

@@ -216,7 +216,7 @@ def ingest_full(spark, d):
     rows = t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr(PAGES["forum_b"][0]).alias("url"), F.expr(PAGES["forum_b"][1]).alias("html"), F.expr(TITLES).alias("title"))
     threads = rows.select("k", F.lit("forum_b").alias("source_name"), "url", "title", cat.categorize(F.col("title"), cat.FORUM_B).alias("category"), F.lit(None).cast("string").alias("summary"), "html")
     deals = configurations.valid_deals(rows.select(F.expr(ANSWER).alias("envelope")), "envelope").select("deal_id", "deal")
-    store = Store(spark, fresh_path(spark, "ingest"))
+    store = Store(spark, fresh_path(spark, "ingest"), buckets=16)
     ingestion.ingest(store, threads.where("k % 2 = 1").drop("k"), deals, 0, now())
     ingestion.ingest(store, threads.drop("k"), deals, 1, now())
     items = store.rows("items").select(F.col("post_id").alias("id"), "price_amount", "ram_mb", "provider_name")

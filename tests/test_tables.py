@@ -111,6 +111,22 @@ def test_history_is_read_by_bucket(spark, tmp_path):
     assert sorted(r.key for r in tables.known_keys(batch, store.rows("posts"), ["key"], most=0).collect()) == ["k7", "k8"]  # too many to be broadcast
 
 
+def test_a_batch_takes_its_own_place(spark, tmp_path):
+    """What a run that failed had written under a batch's number goes, in buckets too that the next run has no rows of; other batches stay."""
+    store = Store(spark, str(tmp_path), buckets=8)
+    rows = spark.range(100).select(F.col("id").alias("k"))
+    store.append("t", rows.where("k >= 50"), 0, ["k"])
+    store.append("t", rows.where("k < 50"), 1, ["k"])
+    store.append("t", rows.where("k in (1, 2)"), 1, ["k"])
+    assert sorted(r.k for r in store.rows("t").collect()) == [1, 2, *range(50, 100)] and store.rows("t", 1).count() == 50
+    store.append("t", rows.limit(0), 1, ["k"])
+    assert store.rows("t").count() == 50
+    store.append("nothing", rows.limit(0), 0, ["k"])
+    assert store.rows("nothing").collect() == [] and store.known("nothing", rows, ["k"]).collect() == []
+    store.append("t", store.rows("t", 1).select((F.col("k") + 100).alias("k")), 1, ["k"])  # rows made from earlier batches of the table itself
+    assert store.rows("t").count() == 100
+
+
 def test_changes_rewrite_the_buckets_they_touch(spark, tmp_path):
     store = Store(spark, str(tmp_path), buckets=32)
     store.create("t", spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v")), ["k"])
