@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "{key} {kind}, fingerprint string, is_duplicate boolean"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Where a query may chain stateful operators, Spark holds late rows against the watermark of one batch before.
+CHAINED = "spark.sql.streaming.statefulOperator.allowMultiple"
 
 
 class Owner(StatefulProcessor):
@@ -50,5 +52,7 @@ def owned(stream: DataFrame, key: str, fingerprint: str = "fingerprint", *, days
 
 def first_sights(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """The first row of each key, where rows come late and in no order: rows more than ``delay`` behind the newest that earlier batches had are left out, and
-    a key is remembered that long, so state doesn't grow with the stream."""
+    a key is remembered that long, so state doesn't grow with the stream. From here on, the session's streams hold late rows against the newest watermark
+    and have one stateful operator each."""
+    stream.sparkSession.conf.set(CHAINED, "false")
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)

@@ -1,5 +1,7 @@
 """Every registered query that has SQL, against DuckDB; and properties of the offers query."""
 
+import datetime
+
 import duckdb
 import pytest
 
@@ -92,3 +94,20 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert Columns().post_id == "id"
+
+
+def exactly(spark, name, path, table, rows, schema):
+    """The query's rows over one small table beside those of its SQL; null and '' differ."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
+
+
+def test_late_events_of_keys_that_no_earlier_batch_has(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    rows = [(i, None if i % 10 == 4 else at(i / 8), i, "view") for i in range(80)] + [(104, at(9), 1, "view"), (108, at(3), 2, "click"), (112, at(9), 2, "click")]
+    got, want = exactly(spark, "late_events", tmp_path, "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    assert got == want and 0 < sum(not r[2] for r in want) < 20
