@@ -20,6 +20,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def lower_each(c: Column) -> Column:
+    """Lower case of each character by itself, as SQL engines have it: without the two letters whose lower case is longer or goes by what follows."""
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def clean_text(c: Column) -> Column:
     """Null and '' give ''. White space is collapsed before emoji go, so two spaces can remain where one stood between."""
     collapsed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import category as cat
 from ..functions import display, money, places, specs, urls
-from ..functions.text import clean_text, contains_any_case, fingerprint_text
+from ..functions.text import clean_text, contains_any_case, fingerprint_text, lower_each
 from ..operators import configurations, duplicates, fingerprints, tables
 from ..sources import feeds
 from . import health, offers
@@ -270,8 +270,9 @@ _RULES = "[" + ", ".join(f"[{a}, {b}]" for a, b in map(fingerprints.permutation,
 g AS (SELECT doc_id, CASE WHEN length(x) < 3 THEN [] ELSE list_transform(list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))), lambda y: CAST('0x' || substring(md5(y), 1, 8) AS BIGINT)) END AS h FROM s)
 SELECT doc_id, array_to_string(list_transform({_RULES}, lambda r: list_min(list_transform(h, lambda y: (y * CAST(r[1] AS BIGINT) + r[2]) % {fingerprints.PRIME}))), ',') AS signature FROM g""")
 def minhash_signature(spark, d):
-    sh = fingerprints.shingles(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 200)))
-    return t(spark, d, "documents").select("doc_id", F.array_join(fingerprints.minhash(sh, 8), ",").alias("signature"))
+    """Signatures as text; a text of fewer than three characters has none."""
+    sh = fingerprints.shingles(lower_each(F.substring(F.coalesce("text", F.lit("")), 1, 200)))
+    return t(spark, d, "documents").select("doc_id", F.nullif(F.array_join(fingerprints.minhash(sh, 8), ","), F.lit("")).alias("signature"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE json_valid(props)")

@@ -111,3 +111,9 @@ def test_late_events_of_keys_that_no_earlier_batch_has(spark, tmp_path):
     rows = [(i, None if i % 10 == 4 else at(i / 8), i, "view") for i in range(80)] + [(104, at(9), 1, "view"), (108, at(3), 2, "click"), (112, at(9), 2, "click")]
     got, want = exactly(spark, "late_events", tmp_path, "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
     assert got == want and 0 < sum(not r[2] for r in want) < 20
+
+
+def test_minhash_signatures_of_odd_texts(spark, tmp_path):
+    texts = [None, "", "a", "ab", "abc", "  ", "aaaa", "\u039f\u0394\u039f\u03a3", "\u0130stanbul", "x" * 300, "a\x00bc", "\U0001f600\U0001f600\U0001f600"]
+    got, want = exactly(spark, "minhash_signature", tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == want and sum(r[1] is None for r in want) == 5
