@@ -17,7 +17,7 @@
    remain between different components.
 5. Links are joined into components (``components.py``).
 
-Hot values are counted by partial aggregation, their joins are dealt by document (``spread_join``), and a large list is tiled
+Hot values are counted by partial aggregation, their joins are dealt by document (``spread_join``) or made where the rows are (``split_join``), and a large list is tiled
 over many tasks; no group is gathered and all-pairs of a group are never emitted. Text travels only to be verified.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer than ``width`` words is
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.joins import spread_join
+from ..operators.joins import split_join, spread_join
 from .common import WordHashes, stash, unstash, window_hashes, words_of
 from .components import components
 
@@ -96,7 +96,7 @@ def inverted_lists(reps: DataFrame, *, k: int = K, shared: int = SHARED) -> Data
     """value, doc_id, n, lone (sketch values that no other text has): only values that two texts put forward."""
     values = reps.where("n > 0").select("doc_id", F.explode("sketch").alias("value"))
     often = stash(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-often")
-    rare = spread_join(values, often, ["value"], "df", ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
+    rare = split_join(values, often, "value", "df").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
     per_text = rare.join(reps.select("doc_id", "n", F.size("sketch").alias("size")), "doc_id")
     # a whole set of fewer than k values shares at least 3/4 of them with a similar one, and half of a sketch at least
     least = F.when(F.col("size") < k, F.least(F.ceil(F.col("size") * 0.75), F.lit(k // 2))).otherwise(F.lit(shared))
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: tuple[in
         raise ValueError("the sketches are made for a similarity of 3/4 or more")
     sig = stash(signatures(docs, width=width, k=k, id_col=id_col, text_col=text_col), "near-signatures")
     copies = stash(sig.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "near-copies")
-    reps = sig.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n", "sketch")
+    reps = stash(sig.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n", "sketch"), "near-reps")
     lists = inverted_lists(reps, k=k, shared=shared)
 
     # leaders: of each list, the text with the fewest lone values, then the least id
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: tuple[in
     pairs.append(_compared(fine_placed, fine_mixed, fine_lists, fine, tile, FINE_ESTIMATE, FINE_K, exact, spent))
     found = pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.max("est").alias("est"), F.bool_or("sure").alias("sure"))
     found = stash(found.join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-    unstash(*spent, lists, placed, mixed, fine, fine_lists, fine_placed, fine_mixed)
+    unstash(*spent, reps, lists, placed, mixed, fine, fine_lists, fine_placed, fine_mixed)
 
     def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
         """Components of what is known so far, as one edge per text, and of new links."""

@@ -225,3 +225,17 @@ def test_lines_odd_rows(spark):
     got = sorted((r.text, r.n_removed) for r in line_dedup.remove_boilerplate(rows, sites=5).collect())
     assert len(got) == 6
     assert line_dedup.remove_boilerplate(rows.limit(0), sites=5).count() == 0
+
+
+def test_values_of_one_text_leave_no_join(spark, monkeypatch):
+    plans, stash = {}, near_dedup.stash
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stash(df, name)
+
+    monkeypatch.setattr(near_dedup, "stash", seen)
+    sketches = [(i, 4, [0, 1 + i // 2, 1001 + i // 2, 2000 + i]) for i in range(300)] + [(i, 1, [0]) for i in range(300, 310)]
+    lists = near_dedup.inverted_lists(spark.createDataFrame(sketches, "doc_id long, n long, sketch array<long>"))
+    assert {(r.value, r.doc_id, r.lone) for r in lists.collect()} == {(1 + i // 2, i, 1) for i in range(300)} | {(0, i, 0) for i in range(300, 310)}
+    assert "LeftOuter" not in plans["near-lists"] and "broadcast" in plans["near-lists"]
