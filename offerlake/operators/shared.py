@@ -58,3 +58,10 @@ def unstash(*tables: DataFrame) -> None:
     """Remove what ``stash`` wrote, once nothing will read it any more."""
     for t in tables:
         remove(t.sparkSession, t.stashed_at)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows dealt over as many tasks as there are cores at least. Spark packs partitions by their bytes, so rows that are few bytes but long work
+    would all be one task's; those of a named number stay apart."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

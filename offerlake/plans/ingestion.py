@@ -19,7 +19,7 @@ from ..functions.text import blank_to_null
 from ..functions.urls import domain
 from ..operators.configurations import PAGE_CHARS, explode_configurations, extracted, valid_deals
 from ..operators.fingerprints import fuzzy_fingerprint, strict_fingerprint
-from ..operators.shared import stash, unstash
+from ..operators.shared import dealt, stash, unstash
 from ..operators.tables import Store
 from ..schema import FINGERPRINTS, ITEMS, KEYS, POSTS, REJECTED, THREADS, names
 from ..sources import pages
@@ -120,7 +120,7 @@ def fingerprints(posts: DataFrame, items: DataFrame) -> DataFrame:
     strict = strict_fingerprint(F.col("provider_domain"), F.col("category"), F.col("price_monthly"), F.col("price_currency"), F.col("location"), F.col("ram_mb"), F.col("storage_gb"), F.col("bandwidth_gb"))
     strict = with_kind.where("price_monthly <> 0").select(*POST_KEYS, strict.alias("fingerprint"), F.lit("strict").alias("fingerprint_type")).distinct()
     first = items.groupBy(*POST_KEYS).agg(F.min_by("provider_domain", "position").alias("_domain"))
-    fuzzy = posts.join(first, POST_KEYS, "left").select(*POST_KEYS, fuzzy_fingerprint(F.col("title"), F.col("_domain"), F.col("raw_text")).alias("fingerprint"), F.lit("fuzzy").alias("fingerprint_type"))
+    fuzzy = dealt(posts, POST_KEYS).join(first, POST_KEYS, "left").select(*POST_KEYS, fuzzy_fingerprint(F.col("title"), F.col("_domain"), F.col("raw_text")).alias("fingerprint"), F.lit("fuzzy").alias("fingerprint_type"))
     return strict.unionByName(fuzzy)
 
 
@@ -139,7 +139,7 @@ def ingest(store: Store, threads: DataFrame, deals: DataFrame, number: int, as_o
     counts = {n: Observation(f"{n}-{number}") for n in ("seen", "walked", "posts")}
     keyed = threads.select(*names(THREADS)).withColumn("canonical_url", F.col("url"))
     new = fresh(keyed, store, "posts", POST_KEYS, ["url"], number)
-    read = read_pages(with_offers(new, deals))
+    read = read_pages(dealt(with_offers(new, deals), ["source_name", "url"]))
     walked = stash(read.observe(counts["walked"], F.count("*").alias("valid"), F.count_if(F.col("error").isNotNull()).alias("rejected")), "ingest-pages")
     posts, page_items = parsed(walked, as_of)
     posts = stash(posts, "ingest-posts")

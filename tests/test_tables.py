@@ -242,3 +242,13 @@ def test_health(spark):
     assert health.freshness(rows, at("2024-01-02 00:00:00")).first()[1:] == (1, "ok")
     assert health.freshness(rows, at("2024-01-03 12:00:00")).first().status == "stale"
     assert health.freshness(rows.limit(0), at("2024-01-03 00:00:00")).first().status == "no_data"
+
+
+def test_fingerprints_of_few_bytes_are_many_tasks(spark):
+    from offerlake.plans import ingestion
+
+    posts = spark.createDataFrame([("forum_a", f"u{i}", "vps", "t", str(i)) for i in range(200)], "source_name string, canonical_url string, category string, title string, raw_text string")
+    kinds = "provider_domain string, price_monthly double, price_currency string, location string, ram_mb int, storage_gb int, bandwidth_gb int, position int"
+    items = spark.createDataFrame([("forum_a", f"u{i}", "a.test", 1.0, "USD", None, 1, 1, 1, 0) for i in range(200)], f"source_name string, canonical_url string, {kinds}")
+    rows = ingestion.fingerprints(posts, items).withColumn("task", F.spark_partition_id()).where("fingerprint_type = 'fuzzy'").collect()
+    assert len(rows) == 200 and len({r.task for r in rows}) > 1
