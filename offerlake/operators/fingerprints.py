@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +54,45 @@ def minhash(items: Column, permutations: int = PERMUTATIONS) -> Column:
     return let(hashes, lambda s: F.transform(rules, lambda p: F.array_min(F.transform(s, lambda h: (h * p["a"] + p["b"]) % PRIME))))
 
 
+#: Runs of characters, distinct in their texts, that are hashed at once.
+AT_ONCE = 1_000_000
+_LETTER = 2**21 - 1
+
+
+def _runs(text: str | None) -> np.ndarray:
+    """The distinct runs of three characters, each as one number of 63 bits."""
+    c = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _least(texts: list[np.ndarray], permutations: int) -> Iterator[list[int] | None]:
+    """The signatures of texts, each given by its runs; None where there are none. A run that many of the texts have is hashed once."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    runs, at = np.unique(np.concatenate([np.empty(0, np.int64), *texts]), return_inverse=True)
+    letters = np.stack([runs >> 42, runs >> 21 & _LETTER, runs & _LETTER], 1).astype("<u4").tobytes().decode("utf-32-le")
+    hashes = np.frombuffer(b"".join(md5(letters[k : k + 3].encode()).digest()[:4] for k in range(0, len(letters), 3)), ">u4").astype(np.int64)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    least = iter(np.stack([np.minimum.reduceat(((hashes * a + b) % PRIME)[at], starts) for a, b in map(permutation, range(permutations))], 1).tolist() if len(starts) else [])
+    return (next(least) if n else None for n in sizes)
+
+
+def text_minhash(text: Column, permutations: int = PERMUTATIONS, at_once: int = AT_ONCE) -> Column:
+    """``minhash`` of the ``shingles`` of whole texts, whatever their length; null for one of fewer than three characters."""
+
+    @F.arrow_udf("array<long>")
+    def signed(texts: pa.Array) -> pa.Array:
+        out, held, n = [], [], 0
+        for x in texts:
+            held.append(_runs(x.as_py()))
+            n += len(held[-1])
+            if n >= at_once:
+                out += _least(held, permutations)
+                held, n = [], 0
+        return pa.array([*out, *_least(held, permutations)], pa.list_(pa.int64()))
+
+    return signed(text)
+
+
 def fuzzy_text(title: Column, domain: Column, body: Column) -> Column:
     return F.concat_ws(" ", F.lower(F.coalesce(domain, F.lit(""))), fingerprint_text(title), fingerprint_text(F.substring(F.coalesce(body, F.lit("")), 1, BODY)))
 

@@ -266,13 +266,13 @@ def duplicate_flag(spark, d):
 _RULES = "[" + ", ".join(f"[{a}, {b}]" for a, b in map(fingerprints.permutation, range(8))) + "]"
 
 
-@query(f"""WITH s AS (SELECT doc_id, lower(substring(coalesce(text, ''), 1, 200)) AS x FROM documents),
+@query(f"""WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(x) < 3 THEN [] ELSE list_transform(list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))), lambda y: CAST('0x' || substring(md5(y), 1, 8) AS BIGINT)) END AS h FROM s)
 SELECT doc_id, array_to_string(list_transform({_RULES}, lambda r: list_min(list_transform(h, lambda y: (y * CAST(r[1] AS BIGINT) + r[2]) % {fingerprints.PRIME}))), ',') AS signature FROM g""")
 def minhash_signature(spark, d):
-    """Signatures as text; a text of fewer than three characters has none."""
-    sh = fingerprints.shingles(lower_each(F.substring(F.coalesce("text", F.lit("")), 1, 200)))
-    return t(spark, d, "documents").select("doc_id", F.nullif(F.array_join(fingerprints.minhash(sh, 8), ","), F.lit("")).alias("signature"))
+    """Signatures of whole texts, as text; a text of fewer than three characters has none."""
+    signature = fingerprints.text_minhash(lower_each(F.coalesce("text", F.lit(""))), 8)
+    return t(spark, d, "documents").select("doc_id", F.array_join(signature, ",").alias("signature"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE json_valid(props)")

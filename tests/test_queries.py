@@ -4,6 +4,7 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from offerlake.plans import catalog
 from offerlake.plans.offers import Columns, OffersQuery
@@ -117,3 +118,20 @@ def test_minhash_signatures_of_odd_texts(spark, tmp_path):
     texts = [None, "", "a", "ab", "abc", "  ", "aaaa", "\u039f\u0394\u039f\u03a3", "\u0130stanbul", "x" * 300, "a\x00bc", "\U0001f600\U0001f600\U0001f600"]
     got, want = exactly(spark, "minhash_signature", tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
     assert got == want and sum(r[1] is None for r in want) == 5
+
+
+def test_minhash_signatures_go_by_whole_texts(spark, tmp_path):
+    head = "".join(chr(97 + i * i % 23) for i in range(200))
+    texts = [head, head + "qqq", head + "\U0001f600\u039f\u0394\u039f\u03a3 " * 90, "\u00e9" * 199 + "abcdefgh", "\u00e9" * 199, head * 40 + "zyx", *(f"{head}{i}" for i in range(30))]
+    got, want = exactly(spark, "minhash_signature", tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == want and len({r[1] for r in got}) > 5
+
+
+def test_minhash_of_texts_is_that_of_their_shingles(spark):
+    from offerlake.operators import fingerprints
+
+    words = ["", "ab", "abc", "\U0001f600b\u00e9\x00", *(f"text {i * i} of {i} words \u4e2d\u6587" * (i % 5) for i in range(60))]
+    texts = spark.createDataFrame(list(enumerate([*words, None])), "i long, t string").coalesce(1)
+    rows = texts.select("t", fingerprints.text_minhash(F.col("t"), 5, at_once=50).alias("got"), fingerprints.minhash(fingerprints.shingles(F.col("t")), 5).alias("want")).collect()
+    assert all(r.got == (r.want if len(r.t or "") > 2 else None) for r in rows) and len(rows) == 65
+    assert list(fingerprints._least([fingerprints._runs(w) for w in words], 5)) == [x for w in words for x in fingerprints._least([fingerprints._runs(w)], 5)]
